@@ -32,8 +32,20 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return container_report(p8_containers(spark, d), limits(spark, d, "documents")[0])
 
 
+def p9_languages(spark: SparkSession, d: str) -> DataFrame:
+    from papyra.llm.language import identify_languages
+
+    return identify_languages(table(spark, d, "documents"), table(spark, d, "lang_labels"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    from papyra.llm.language import wrong_or_mixed
+
+    return wrong_or_mixed(p9_languages(spark, d)).select("doc_id", "seg", "lang")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p7_ids, p8_containers, p8_report)}
+    return {f.__name__: f for f in (p7_ids, p8_containers, p8_report, p9_found, p9_languages)}
 
 
 def oracle_sql() -> dict[str, str]:
