@@ -14,6 +14,18 @@ def limits(spark: SparkSession, d: str, tbl: str) -> tuple[int, int]:
     return int(row.m), int(row.o)
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    from papyra.llm.neardup import similar_classes, similar_pairs
+
+    return similar_pairs(*similar_classes(table(spark, d, "corpus_docs")))
+
+
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    from papyra.llm.neardup import groups, similar_classes
+
+    return groups(*similar_classes(table(spark, d, "corpus_docs"))).withColumnRenamed("id", "file_id")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     from papyra.llm.tokens import encode_corpus
 
@@ -45,7 +57,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p7_ids, p8_containers, p8_report, p9_found, p9_languages)}
+    return {f.__name__: f for f in (p6_found, p6_groups, p7_ids, p8_containers, p8_report, p9_found, p9_languages)}
 
 
 def oracle_sql() -> dict[str, str]:
