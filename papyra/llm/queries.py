@@ -14,6 +14,24 @@ def limits(spark: SparkSession, d: str, tbl: str) -> tuple[int, int]:
     return int(row.m), int(row.o)
 
 
+#: Of each table with long texts: key, text, arrival.
+OVERSIZED = {"corpus_docs": ("file_id", "body", "ingested_at"), "search_results": ("result_id", "content", "fetched_at")}
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    from papyra.llm.splitting import split_oversized
+
+    parts = [split_oversized(table(spark, d, t), *cols, *limits(spark, d, t), with_text=False).select(F.lit(t).alias("tbl"), "rec_id", "forced") for t, cols in OVERSIZED.items()]
+    return parts[0].unionByName(parts[1])
+
+
+def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
+    from papyra.llm.splitting import pieces_of, split_oversized
+
+    parts = [pieces_of(split_oversized(table(spark, d, t), *cols, *limits(spark, d, t))).select(F.lit(t).alias("tbl"), "*") for t, cols in OVERSIZED.items()]
+    return parts[0].unionByName(parts[1])
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     from papyra.llm.neardup import similar_classes, similar_pairs
 
@@ -57,7 +75,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p6_found, p6_groups, p7_ids, p8_containers, p8_report, p9_found, p9_languages)}
+    return {f.__name__: f for f in (p2_found, p2_pieces, p6_found, p6_groups, p7_ids, p8_containers, p8_report, p9_found, p9_languages)}
 
 
 def oracle_sql() -> dict[str, str]:
