@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 
 from papyra.llm import textscan as ts
 from papyra.llm.tokens import chunks
-from papyra.operators.common import strip
 
 BITS = 15
 SIZE = 1 << BITS
@@ -239,25 +238,36 @@ def _score(codes: list[str], table: bytes, temperature: float, sure: float, shor
     return run
 
 
+def labelled_sample(src: DataFrame, per_label: int) -> list[tuple[str, str]]:
+    """About ``per_label`` (text, code) pairs of each code from (doc_id, text, said), chosen by a hash of the id; never more than twice that."""
+    ok = src.where("said IS NOT NULL AND text <> ''")
+    counts = {r.said: r["count"] for r in ok.groupBy("said").count().collect()}  # one row per code of the label table
+    share = F.lit(0.0)
+    for c, k in counts.items():
+        share = F.when(F.col("said") == c, F.lit(min(1.0, per_label / k))).otherwise(share)
+    picked = ok.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
+    return [(r.text, r.said) for r in picked.select("doc_id", "text", "said").sort("doc_id").limit(2 * per_label * max(1, len(counts))).collect()]
+
+
+def with_codes(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """(doc_id, text, said): ``said`` is the code that the label stands for, null where it is missing or unknown."""
+    names = labels.groupBy(F.col("label").alias("_l")).agg(F.min("code").alias("said"))
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("_l")).join(names, "_l", "left").drop("_l")
+
+
 def identify_languages(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_label: int = 400, sure: float = 0.9, short: int = 30) -> DataFrame:
     """(key, seg, lang, confidence, mixed, said): per text a row with seg -1, per mixed text one for each paragraph with words.
 
     ``said`` is the code its label stands for, null where the label is missing or unknown.
     """
     spark = docs.sparkSession
-    names = labels.groupBy(F.lower(strip(F.col("label"))).alias("_l")).agg(F.min("code").alias("said"))
-    src = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.lower(strip(F.col(lang))).alias("_l")).join(names, "_l", "left").drop("_l")
+    src = with_codes(docs, labels, key, text, lang)
     df = src.select("text").where("text <> ''").mapInArrow(_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # SIZE rows at most
     n = np.zeros(SIZE)
     n[df["bucket"].to_numpy()] = df["n"].to_numpy()
     idf = np.log((1 + n[0]) / (1 + n)) + 1
     idf[0] = 0
-    counts = {r.said: r["count"] for r in src.where("said IS NOT NULL AND text <> ''").groupBy("said").count().collect()}
-    share = F.lit(0.0)
-    for c, k in counts.items():
-        share = F.when(F.col("said") == c, F.lit(min(1.0, per_label / k))).otherwise(share)
-    picked = src.where("said IS NOT NULL AND text <> ''").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
-    sample = [(r.text, r.said) for r in picked.select("doc_id", "text", "said").sort("doc_id").limit(2 * per_label * max(1, len(counts))).collect()]
+    sample = labelled_sample(src, per_label)
     if not sample:
         return spark.createDataFrame([], f"{key} long, seg int, lang string, confidence double, mixed boolean, said string")
     codes, w, t = fit(sample, idf)

@@ -14,6 +14,23 @@ def limits(spark: SparkSession, d: str, tbl: str) -> tuple[int, int]:
     return int(row.m), int(row.o)
 
 
+def pairs(spark: SparkSession, d: str) -> DataFrame:
+    """(tbl, rec_id, arrived, question, answer) of both pair tables."""
+    a = table(spark, d, "research_findings").select(F.lit("research_findings").alias("tbl"), F.col("finding_id").alias("rec_id"), F.col("created_at").alias("arrived"), "question", "answer")
+    b = table(spark, d, "search_results").select(F.lit("search_results"), "result_id", "fetched_at", "query", "content")
+    return a.union(b)
+
+
+def p1_judged(spark: SparkSession, d: str) -> DataFrame:
+    from papyra.llm.pairs import judge_pairs
+
+    return judge_pairs(pairs(spark, d), table(spark, d, "documents"), table(spark, d, "lang_labels"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_judged(spark, d).where("defect IS NOT NULL").select("tbl", "rec_id", "defect")
+
+
 #: Of each table with long texts: key, text, arrival.
 OVERSIZED = {"corpus_docs": ("file_id", "body", "ingested_at"), "search_results": ("result_id", "content", "fetched_at")}
 
@@ -75,7 +92,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_pieces, p6_found, p6_groups, p7_ids, p8_containers, p8_report, p9_found, p9_languages)}
+    return {f.__name__: f for f in (p1_found, p1_judged, p2_found, p2_pieces, p6_found, p6_groups, p7_ids, p8_containers, p8_report, p9_found, p9_languages)}
 
 
 def oracle_sql() -> dict[str, str]:
