@@ -49,6 +49,19 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    from papyra.llm.mainbody import page_frames
+
+    return page_frames(table(spark, d, "crawl_results")).select("crawl_id", F.explode("lines").alias("line_no"))
+
+
+def p3_bodies(spark: SparkSession, d: str) -> DataFrame:
+    from papyra.llm.mainbody import main_body, page_frames
+
+    pages = table(spark, d, "crawl_results")
+    return main_body(pages, page_frames(pages))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     from papyra.llm.neardup import similar_classes, similar_pairs
 
@@ -92,7 +105,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_judged, p2_found, p2_pieces, p6_found, p6_groups, p7_ids, p8_containers, p8_report, p9_found, p9_languages)}
+    return {f.__name__: f for f in (p1_found, p1_judged, p2_found, p2_pieces, p3_found, p3_bodies, p6_found, p6_groups, p7_ids, p8_containers, p8_report, p9_found, p9_languages)}
 
 
 def oracle_sql() -> dict[str, str]:
