@@ -62,6 +62,19 @@ def p3_bodies(spark: SparkSession, d: str) -> DataFrame:
     return main_body(pages, page_frames(pages))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    from papyra.llm.scans import read_scans
+
+    got = read_scans(table(spark, d, "extraction_results"), with_text=False)
+    return got.select("extract_id", F.inline("cases"))
+
+
+def p5_texts(spark: SparkSession, d: str) -> DataFrame:
+    from papyra.llm.scans import read_scans
+
+    return read_scans(table(spark, d, "extraction_results")).select("extract_id", "repaired")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     from papyra.llm.neardup import similar_classes, similar_pairs
 
@@ -105,7 +118,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_judged, p2_found, p2_pieces, p3_found, p3_bodies, p6_found, p6_groups, p7_ids, p8_containers, p8_report, p9_found, p9_languages)}
+    return {f.__name__: f for f in (p1_found, p1_judged, p2_found, p2_pieces, p3_found, p3_bodies, p5_found, p5_texts, p6_found, p6_groups, p7_ids, p8_containers, p8_report, p9_found, p9_languages)}
 
 
 def oracle_sql() -> dict[str, str]:
