@@ -1,29 +1,376 @@
-"""Queries of the core operators over whole tables, by name."""
+"""Queries of the core operators over whole tables, by name, and the SQL that checks them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from papyra.functions import text as T
+from papyra.operators import cluster, corpus, external, firstkept, graph, rank, reports
 from papyra.operators.common import table
+from papyra.operators.timestamps import normalise_timestamps
 
+Q: dict = {}
+SQL: dict[str, str] = {}
 
-def p4_timestamps(spark: SparkSession, d: str) -> DataFrame:
-    from papyra.operators.timestamps import normalise_timestamps
 
-    return normalise_timestamps(table(spark, d, "corpus_docs"), table(spark, d, "source_zones"), table(spark, d, "zone_abbrevs"))
+def query(sql: str | None = None):
+    """Register a query, and its SQL where there is one."""
 
+    def add(f):
+        Q[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
 
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return p4_timestamps(spark, d).select("file_id", "utc")
+    return add
 
 
-def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return p4_found(spark, d)
+def docs(s: SparkSession, d: str) -> DataFrame:
+    return corpus.once(table(s, d, "corpus_docs"), "file_id")
+
+
+_DOCS = "(SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY ingested_at) rn FROM corpus_docs) WHERE rn = 1)"
+_FOUND = "(SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY finding_id ORDER BY created_at) rn FROM research_findings) WHERE rn = 1)"
+_STATUS = "(SELECT f filename, arg_max(st, line_id) status FROM (SELECT trim(filename) f, lower(trim(status)) st, line_id FROM file_index WHERE status IS NOT NULL OR true) GROUP BY f)"
+
+
+@query()
+def p4_timestamps(s, d):
+    return normalise_timestamps(table(s, d, "corpus_docs"), table(s, d, "source_zones"), table(s, d, "zone_abbrevs"))
+
+
+@query()
+def p4_found(s, d):
+    return p4_timestamps(s, d).select("file_id", "utc")
+
+
+@query(f"SELECT file_id, CAST(length(coalesce(body, '')) AS INT) raw_len, md5(coalesce(body, '')) raw_md5 FROM {_DOCS}")
+def doc_fields(s, d):
+    return corpus.with_fields(docs(s, d)).select("file_id", "raw_len", "raw_md5")
+
+
+@query(f"SELECT CASE WHEN md5 IS NULL OR md5 = '' THEN 'missing' WHEN md5 = md5(coalesce(body, '')) THEN 'equal' WHEN lower(md5) = md5(coalesce(body, '')) THEN 'case' ELSE 'stale' END state, count(*) n FROM {_DOCS} GROUP BY 1")
+def md5_states(s, d):
+    m = F.md5(F.coalesce("body", F.lit("")))
+    state = F.when(F.coalesce("md5", F.lit("")) == "", "missing").when(F.col("md5") == m, "equal").when(F.lower("md5") == m, "case").otherwise("stale")
+    return docs(s, d).groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT file_id, CAST(length(body) AS INT) raw_len FROM {_DOCS} WHERE length(body) >= 500")
+def filter_short(s, d):
+    return corpus.with_fields(docs(s, d)).where("raw_len >= 500").select("file_id", "raw_len")
+
+
+@query("SELECT trim(filename) filename, lower(trim(arg_max(coalesce(status, '\x01'), line_id))) status FROM file_index WHERE filename IS NOT NULL GROUP BY trim(filename)".replace("lower(trim(arg_max(coalesce(status, '\x01'), line_id)))", "nullif(lower(trim(arg_max(coalesce(status, '<null>'), line_id))), '<null>')"))
+def status_index(s, d):
+    return corpus.last_status(table(s, d, "file_index").where("filename IS NOT NULL"))
+
+
+@query(f"SELECT c.file_id FROM {_DOCS} c LEFT JOIN (SELECT trim(filename) f, arg_max(coalesce(lower(trim(status)), 'ok'), line_id) st FROM file_index GROUP BY 1) i ON c.filename = i.f WHERE coalesce(st, 'ok') IN ('ok', '')")
+def status_join(s, d):
+    return corpus.filter_status(docs(s, d), table(s, d, "file_index")).select("file_id")
+
+
+@query(f"""SELECT file_id, coalesce(nullif(concat_ws(' ', nullif(source, ''), nullif(regexp_replace(regexp_replace(published, 'T\\d{{2}}:\\d{{2}}:\\d{{2}}[+\\-]\\d{{2}}:\\d{{2}}', '', 'g'), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g'), '')), ''), filename) AS label FROM {_DOCS}""")
+def source_labels(s, d):
+    return docs(s, d).select("file_id", T.source_label(F.col("source"), F.col("published"), F.col("filename")).alias("label"))
+
+
+@query()
+def boilerplate(s, d):
+    return docs(s, d).select("file_id", F.md5(T.remove_boilerplate(F.col("body"))).alias("clean_md5"), F.length(T.remove_boilerplate(F.col("body"))).alias("clean_len"))
+
+
+@query(f"SELECT file_id FROM (SELECT file_id, row_number() OVER (PARTITION BY md5(coalesce(body, '')) ORDER BY filepath NULLS FIRST, file_id) r FROM {_DOCS}) WHERE r = 1")
+def exact_dedup(s, d):
+    return corpus.dedup_exact(corpus.with_fields(docs(s, d))).select("file_id")
+
+
+@query(f"SELECT md5(coalesce(body, '')) raw_md5, count(*) copies, min(file_id) first_id FROM {_DOCS} GROUP BY 1 HAVING count(*) > 1")
+def exact_groups(s, d):
+    return corpus.with_fields(docs(s, d)).groupBy("raw_md5").agg(F.count(F.lit(1)).alias("copies"), F.min("file_id").alias("first_id")).where("copies > 1")
+
+
+@query()
+def near_dedup(s, d):
+    return firstkept.kept_first(docs(s, d).where("length(body) >= 500"))
+
+
+_PARAS = f"(SELECT file_id, unnest(p) para, generate_subscripts(p, 1) - 1 para_ord FROM (SELECT file_id, regexp_split_to_array(body, '\\n[ \\t\\n\\f\\r]*\\n') p FROM {_DOCS} WHERE body IS NOT NULL))"
+
+
+@query(f"""WITH p AS (SELECT *, CASE WHEN length(trim(para)) >= 100 THEN md5(trim(para)) END fp FROM {_PARAS}), dup AS (SELECT fp, min(file_id * 1000000 + para_ord) f FROM p WHERE fp IS NOT NULL GROUP BY fp HAVING count(DISTINCT file_id) > 1)
+SELECT c.file_id, md5(coalesce(string_agg(para, chr(10) || chr(10) ORDER BY para_ord), '')) body_md5 FROM {_DOCS} c LEFT JOIN (SELECT p.* FROM p LEFT JOIN dup USING (fp) WHERE f IS NULL OR file_id * 1000000 + para_ord = f) k ON c.file_id = k.file_id GROUP BY c.file_id""")
+def paragraph_dedup(s, d):
+    return corpus.dedup_paragraphs(docs(s, d)).select("file_id", F.md5("body").alias("body_md5"))
+
+
+@query(f"SELECT file_id, len(list_distinct(list_transform(generate_series(1, len(s) - 4), lambda i: s[i] || s[i + 1] || s[i + 2] || s[i + 3] || s[i + 4]))) n_shingles FROM (SELECT file_id, string_split(lower(regexp_replace(trim(body), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')), '') s FROM {_DOCS} WHERE body IS NOT NULL) WHERE len(s) >= 5")
+def shingle_counts(s, d):
+    return docs(s, d).where("body IS NOT NULL").where(F.length(F.regexp_replace(F.trim("body"), r"\s+", " ")) >= 5).select("file_id", F.size(T.shingles(F.col("body"))).cast("long").alias("n_shingles"))
+
+
+_TOK = "unnest(regexp_extract_all(lower(body), '[\\p{L}\\p{N}_]{2,}'))"
+
+
+@query(f"SELECT file_id, count(*) n_tokens, count(DISTINCT t) n_distinct FROM (SELECT file_id, {_TOK} t FROM {_DOCS}) GROUP BY 1")
+def token_counts(s, d):
+    t = docs(s, d).select("file_id", F.explode(T.tokens(F.col("body"))).alias("t"))
+    return t.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.countDistinct("t").alias("n_distinct"))
+
+
+_TF = f"(SELECT file_id, term, count(*) tf FROM (SELECT file_id, {_TOK} term FROM {_DOCS}) WHERE term NOT IN ({', '.join(repr(w) for w in rank.STOP)}) GROUP BY 1, 2)"
+
+
+@query(f"SELECT term, count(*) df, CAST(sum(tf) AS BIGINT) total FROM {_TF} GROUP BY 1 HAVING count(*) >= 2")
+def term_df(s, d):
+    return rank.term_counts(docs(s, d), "file_id", "body").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).where("df >= 2")
+
+
+_VOC = f"(SELECT term, count(*) df, CAST(sum(tf) AS BIGINT) total FROM {_TF} GROUP BY 1 HAVING count(*) >= 2 AND count(*) <= 0.95 * (SELECT count(*) FROM {_DOCS}) ORDER BY total DESC, term LIMIT 10000)"
+
+
+@query(f"SELECT * FROM {_VOC}")
+def vocabulary_top(s, d):
+    x = docs(s, d)
+    return rank.vocabulary(rank.term_counts(x, "file_id", "body"), x.count())
+
+
+_REL = f"""WITH n AS (SELECT count(*) n FROM {_DOCS}), w AS (SELECT file_id, term, tf * (ln((1.0 + n) / (1.0 + df)) + 1.0) w FROM {_TF} JOIN {_VOC} USING (term), n),
+u AS (SELECT file_id, term, w / norm u FROM w JOIN (SELECT file_id, sqrt(sum(w * w)) norm FROM w GROUP BY 1) USING (file_id)), c AS (SELECT term, sum(u) / max(n) c FROM u, n GROUP BY 1),
+r AS (SELECT file_id, sum(u * c) / (SELECT sqrt(sum(c * c)) FROM c) score FROM u JOIN c USING (term) GROUP BY 1), s AS (SELECT d.file_id, d.source, round(coalesce(score, 0.0), 6) score FROM {_DOCS} d LEFT JOIN r USING (file_id))"""
+
+
+@query(f"{_REL} SELECT file_id, score FROM s")
+def relevance(s, d):
+    return rank.relevance(docs(s, d))
+
+
+@query()
+def relevance_top(s, d):
+    x = docs(s, d)
+    scored = rank.relevance(x).join(x.select("file_id", "source"), "file_id")
+    return corpus.group_top(scored, "source", [F.desc("score"), F.col("file_id")], 3).select("source", "rank", "file_id", "score")
+
+
+@query()
+def sentence_counts(s, d):
+    return docs(s, d).select("file_id", F.size(T.sentences(F.col("body"))).alias("n_sentences"))
+
+
+@query()
+def text_summaries(s, d):
+    return rank.summaries(docs(s, d), "file_id", "body")
+
+
+@query()
+def text_clusters(s, d):
+    return cluster.clusters(docs(s, d), "file_id", "body", k_max=6)
+
+
+@query("SELECT crawl_id, md5(trim(regexp_replace(regexp_replace(concat('<p>', replace(text, chr(10), '</p><p>'), '</p>'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))) text_md5 FROM (SELECT crawl_id, regexp_replace(any_value(text), '[^ -~\\n]', '', 'g') AS text FROM crawl_results GROUP BY 1) WHERE text IS NOT NULL")
+def html_import(s, d):
+    t = corpus.once(table(s, d, "crawl_results"), "crawl_id").where("text IS NOT NULL")
+    page = F.concat(F.lit("<p>"), F.replace(F.regexp_replace("text", r"[^ -~\n]", ""), F.lit("\n"), F.lit("</p><p>")), F.lit("</p>"))
+    return t.select("crawl_id", F.md5(T.html_text(page)).alias("text_md5"))
+
+
+@query("SELECT crawl_id, platform, concat_ws('_', platform, coalesce(nullif(substr(regexp_extract(url, 'share/([a-zA-Z0-9_-]+)', 1), 1, 30), ''), nullif(substr(regexp_extract(url, '([a-zA-Z0-9]{10,})', 1), 1, 30), ''), 'import')) slug FROM (SELECT crawl_id, any_value(url) url, CASE WHEN NOT regexp_matches(trim(any_value(url)), '^https?://') THEN 'file' WHEN regexp_matches(lower(any_value(url)), 'chatgpt\\.com|chat\\.openai\\.com') THEN 'chatgpt' WHEN regexp_matches(lower(any_value(url)), 'gemini\\.google\\.com|g\\.co/gemini') THEN 'gemini' WHEN regexp_matches(lower(any_value(url)), 'perplexity\\.ai') THEN 'perplexity' ELSE 'generic' END platform FROM crawl_results WHERE url IS NOT NULL GROUP BY 1)")
+def url_slugs(s, d):
+    t = corpus.once(table(s, d, "crawl_results"), "crawl_id").where("url IS NOT NULL")
+    p = T.detect_source(F.col("url"))
+    return t.select("crawl_id", p.alias("platform"), T.slug(F.col("url"), p).alias("slug"))
+
+
+@query(f"SELECT finding_id, concat_ws(chr(10) || chr(10), CASE WHEN trim(coalesce(question, ''), ' ') <> '' THEN '用户：' || trim(question, ' ') END, CASE WHEN trim(coalesce(answer, ''), ' ') <> '' THEN '助手：' || trim(answer, ' ') END) transcript FROM {_FOUND} WHERE trim(coalesce(question, ''), ' ') <> '' OR trim(coalesce(answer, ''), ' ') <> ''")
+def transcripts(s, d):
+    f = corpus.once(table(s, d, "research_findings"), "finding_id")
+    turns = f.select("finding_id", F.explode(F.array(F.struct(F.lit(0).alias("turn"), F.lit("user").alias("role"), F.col("question").alias("text")), F.struct(F.lit(1).alias("turn"), F.lit("assistant").alias("role"), F.col("answer").alias("text")))).alias("t")).select("finding_id", "t.*")
+    return reports.transcript(turns, "finding_id", "turn", "role", "text")
+
+
+@query()
+def chapter_rows(s, d):
+    return reports.chapters(table(s, d, "documents"), "doc_id", "text")
+
+
+@query()
+def chapter_contexts(s, d):
+    return reports.contexts(chapter_rows(s, d), "doc_id")
+
+
+@query("WITH e AS (SELECT *, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) THEN 1 ELSE 0 END ch FROM events), i AS (SELECT *, sum(ch) OVER (PARTITION BY user_id ORDER BY event_id) island FROM e) SELECT user_id, CAST(island AS BIGINT) island, any_value(event_type) event_type, count(*) parts, string_agg(CAST(event_id AS VARCHAR), '+' ORDER BY event_id) body FROM i GROUP BY user_id, island")
+def merge_adjacent(s, d):
+    e = table(s, d, "events").select("user_id", "event_id", "event_type", F.col("event_id").cast("string").alias("part"))
+    return reports.merge_adjacent(e, "user_id", "event_id", "event_type", "part", "+")
+
+
+@query("SELECT doc_id, CAST(i AS INT) chunk_ord, md5(substr(text, CAST(i * 1000 + 1 AS BIGINT), 1000)) chunk_md5 FROM (SELECT doc_id, text, unnest(generate_series(0, (length(text) - 1) // 1000)) i FROM documents WHERE length(text) > 0)")
+def text_chunks(s, d):
+    return reports.chunks(table(s, d, "documents"), "doc_id", "text", 1000).select("doc_id", "chunk_ord", F.md5("chunk").alias("chunk_md5"))
+
+
+@query("SELECT doc_id, CAST(i AS INT) i, md5(substr(text, (i * length(text)) // 4 + 1, ((i + 1) * length(text)) // 4 - (i * length(text)) // 4)) part_md5 FROM documents, (SELECT unnest([0, 1, 2, 3]) i) WHERE text IS NOT NULL")
+def proportional_slices(s, d):
+    return reports.slices(table(s, d, "documents").where("text IS NOT NULL"), "doc_id", "text", 4).select("doc_id", "i", F.md5("part").alias("part_md5"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(greatest(2000, floor(greatest(16000, floor(l_extendedprice * 0.6)) * l_quantity / avg(l_quantity) OVER (PARTITION BY l_orderkey) / count(*) OVER (PARTITION BY l_orderkey))) AS BIGINT) target FROM lineitem")
+def density_targets(s, d):
+    return reports.density_targets(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"), "l_orderkey", "l_quantity", "l_extendedprice").select("l_orderkey", "l_linenumber", "target")
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 300 THEN substr(text, 1, 300) || chr(10) || chr(10) || '[truncated]' ELSE text END AS text FROM documents")
+def truncated(s, d):
+    return table(s, d, "documents").select("doc_id", T.truncate_notice(F.col("text"), 300).alias("text"))
+
+
+@query("WITH u AS (SELECT DISTINCT ON (log_id) coalesce(lower(trim(provider)), '') provider, input_tokens, output_tokens FROM usage_log) SELECT provider, count(*) calls, CAST(coalesce(sum(input_tokens), 0) AS BIGINT) input_tokens, CAST(coalesce(sum(output_tokens), 0) AS BIGINT) output_tokens FROM u GROUP BY ROLLUP (provider)")
+def token_usage(s, d):
+    return reports.token_usage(table(s, d, "usage_log"))
+
+
+@query("SELECT user_id, CAST(coalesce(floor(avg(CASE WHEN v >= 0 THEN v END)), -1) AS INT) overall, coalesce(min(v) >= 60, false) AND coalesce(floor(avg(CASE WHEN v >= 0 THEN v END)), -1) >= 70 AS passed FROM (SELECT user_id, CAST(floor(value) AS INT) v FROM events) GROUP BY 1")
+def score_gate(s, d):
+    return reports.score_gate(table(s, d, "events").select("user_id", F.floor("value").cast("int").alias("v")), "user_id", "v")
+
+
+@query("SELECT user_id, pos, event_id FROM (SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 ELSE 2 END, event_id) AS INT) pos FROM events) WHERE pos <= 10")
+def issue_top(s, d):
+    e = table(s, d, "events").withColumn("sev", F.when(F.col("event_type") == "purchase", "高").when(F.col("event_type") == "click", "中").otherwise("低"))
+    return reports.issue_topk(e, "user_id", "sev", "event_id").select("user_id", "pos", "event_id")
+
+
+@query("SELECT finding_id, url, CAST(pos AS INT) pos FROM (SELECT finding_id, c.url url, min(pos) pos FROM (SELECT finding_id, unnest(citations) c, generate_subscripts(citations, 1) - 1 pos FROM (SELECT finding_id, any_value(citations) citations FROM research_findings GROUP BY 1)) WHERE trim(coalesce(c.url, '')) <> '' GROUP BY 1, 2)")
+def citation_dedup(s, d):
+    return reports.citations(corpus.once(table(s, d, "research_findings"), "finding_id"), "finding_id", "citations").select("finding_id", "url", "pos")
+
+
+@query("SELECT finding_id, CASE WHEN len(citations) > 0 THEN '## References' || chr(10) || chr(10) || array_to_string(list_transform(citations, lambda x, i: '[' || i || '] ' || coalesce(x.title, x.url, '') || '. ' || coalesce(x.url, '')), chr(10)) ELSE NULL END refs FROM (SELECT finding_id, any_value(citations) citations FROM research_findings GROUP BY 1) WHERE len(citations) > 0")
+def reference_lists(s, d):
+    f = corpus.once(table(s, d, "research_findings"), "finding_id").where("size(citations) > 0")
+    return f.select("finding_id", T.references(F.col("citations")).alias("refs"))
+
+
+@query(f"SELECT finding_id, md5(regexp_replace(answer, '\\s*\\[\\d+\\]', '', 'g')) stripped_md5, md5(replace(replace(answer, '[1]', '[1 待验证]'), '[3]', '[3 待验证]')) marked_md5 FROM {_FOUND} WHERE answer IS NOT NULL AND NOT regexp_matches(answer, '[^\\x20-\\x7e\\n]')")
+def citation_marks(s, d):
+    f = corpus.once(table(s, d, "research_findings"), "finding_id").where("answer IS NOT NULL").where(~F.col("answer").rlike(r"[^\x20-\x7e\n]"))
+    return f.select("finding_id", F.md5(T.strip_citations(F.col("answer"))).alias("stripped_md5"), F.md5(T.mark_unverified(F.col("answer"), [1, 3])).alias("marked_md5"))
+
+
+@query(f"SELECT category, md5(string_agg('--- 来自文件: ' || coalesce(filename, '') || ' ---' || chr(10) || coalesce(body, ''), chr(10) || chr(10) ORDER BY filename NULLS FIRST, body NULLS FIRST)) corpus_md5 FROM {_DOCS} GROUP BY 1")
+def corpus_by_category(s, d):
+    return corpus.concat_by(docs(s, d), "category", "filename", "body").select("category", F.md5("corpus").alias("corpus_md5"))
+
+
+@query(f"SELECT count(*) documents, CAST(sum(length(body)) AS BIGINT) chars_in, CAST(sum(length(trim(body))) AS BIGINT) chars_out, round((1 - sum(length(trim(body))) / sum(length(body))) * 100, 4) compression_pct FROM {_DOCS}")
+def corpus_stats(s, d):
+    return corpus.stats(docs(s, d).withColumn("t", F.trim("body")), "body", "t")
+
+
+@query("SELECT provider, models, only_first FROM (SELECT lower(trim(provider)) provider, list_sort(list_distinct(list(model))) models, CAST(count(DISTINCT base) AS BIGINT) only_first FROM usage_log WHERE provider IS NOT NULL AND model IS NOT NULL GROUP BY 1)")
+def set_unions(s, d):
+    u = table(s, d, "usage_log").where("provider IS NOT NULL AND model IS NOT NULL")
+    return u.groupBy(F.lower(F.trim("provider")).alias("provider")).agg(F.sort_array(F.collect_set("model")).alias("models"), F.countDistinct("base").alias("only_first"))
+
+
+@query("SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) k_sum, count(*) n FROM events GROUP BY 1")
+def json_props(s, d):
+    k = F.from_json("props", "k long")["k"]
+    return table(s, d, "events").groupBy("event_type").agg(F.sum(k).alias("k_sum"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT finding_id, contains(answer, '❌') crossed, regexp_matches(answer, '幻觉|编造') invented, regexp_matches(answer, '遗漏|缺失') missing_part, contains(answer, '%') percent FROM {_FOUND} WHERE answer IS NOT NULL")
+def keyword_flags(s, d):
+    a = F.col("answer")
+    return corpus.once(table(s, d, "research_findings"), "finding_id").where("answer IS NOT NULL").select("finding_id", a.contains("❌").alias("crossed"), a.rlike("幻觉|编造").alias("invented"), a.rlike("遗漏|缺失").alias("missing_part"), a.contains("%").alias("percent"))
+
+
+@query("SELECT model, substr(md5(concat_ws('|', coalesce(provider, ''), coalesce(model, ''))), 1, 12) config_hash, count(*) n FROM usage_log GROUP BY provider, model")
+def config_hashes(s, d):
+    u = table(s, d, "usage_log").groupBy("provider", "model").agg(F.count(F.lit(1)).alias("n"))
+    return u.select("model", T.config_hash(F.col("provider"), F.col("model")).alias("config_hash"), "n")
+
+
+@query("SELECT doc_id, CAST(floor(length(text) * 0.9) AS BIGINT) target, CAST(floor(length(text) * 0.8) AS BIGINT) AS floor, CAST(least(16384, greatest(4096, floor(floor(length(text) * 0.9) * 1.5))) AS BIGINT) budget FROM documents WHERE text IS NOT NULL")
+def compression_targets(s, d):
+    return table(s, d, "documents").where("text IS NOT NULL").select("doc_id", *[c.cast("long").alias(k) for k, c in reports.compression_targets(F.length("text")).items()])
+
+
+@query("SELECT kind, count(*) n FROM (SELECT CASE WHEN l = '' THEN 'blank' WHEN regexp_matches(l, '^#{1,6}\\s+') THEN 'heading' WHEN regexp_matches(l, '^(-{3,}|\\*{3,}|_{3,})$') THEN 'rule' WHEN starts_with(l, '```') THEN 'fence' WHEN regexp_matches(l, '^\\[\\^[^\\]]+\\]:') THEN 'footnote' WHEN regexp_matches(l, '^\\|.*\\|$') THEN 'table' WHEN regexp_matches(l, '^[-*+]\\s+') THEN 'bullet' WHEN regexp_matches(l, '^\\d+\\.\\s+') THEN 'numbered' WHEN starts_with(l, '>') THEN 'quote' ELSE 'text' END kind FROM (SELECT trim(unnest(string_split(text, chr(10))), ' ') l FROM documents WHERE text IS NOT NULL)) GROUP BY 1")
+def block_kinds(s, d):
+    lines = table(s, d, "documents").where("text IS NOT NULL").select(F.explode(F.split("text", "\n")).alias("l"))
+    return lines.groupBy(T.block_kind(F.col("l")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, replace(replace(replace(replace(coalesce(title, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') title FROM documents")
+def escaped_titles(s, d):
+    return table(s, d, "documents").select("doc_id", T.xml_escape(F.coalesce("title", F.lit(""))).alias("title"))
+
+
+@query("SELECT crawl_id, CAST(pos AS INT) pos, CAST(row_number() OVER (ORDER BY crawl_id, pos) AS BIGINT) img_no, i.url url FROM (SELECT crawl_id, unnest(images) i, generate_subscripts(images, 1) - 1 pos FROM (SELECT crawl_id, any_value(images) images FROM crawl_results GROUP BY 1))")
+def image_numbers(s, d):
+    return reports.number_images(corpus.once(table(s, d, "crawl_results"), "crawl_id"), "crawl_id", "images")
+
+
+@query()
+def image_types(s, d):
+    t = corpus.once(table(s, d, "crawl_results"), "crawl_id").select(F.explode("images").alias("i"))
+    return t.groupBy(T.image_ext(F.coalesce("i.url", F.lit(""))).alias("ext")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _mentions(s, d):
+    """Capitalised two-word names as entity mentions (dictionary-free stand-in for a recogniser)."""
+    m = docs(s, d).select(F.col("file_id").alias("doc"), F.posexplode(F.regexp_extract_all("body", F.lit("[A-Z][a-z]+ (?:Institute|Council|Energy|Holdings|Grid|Partners|Works|Observatory)"), F.lit(0))).alias("pos", "name"))
+    return m.withColumn("label", F.lit("ORG"))
+
+
+_MENT = f"(SELECT file_id doc, unnest(m) AS name, generate_subscripts(m, 1) - 1 pos FROM (SELECT file_id, regexp_extract_all(body, '[A-Z][a-z]+ (?:Institute|Council|Energy|Holdings|Grid|Partners|Works|Observatory)') m FROM {_DOCS} WHERE body IS NOT NULL))"
+
+
+@query(f"SELECT name, 'ORG' AS label, count(*) mentions, count(DISTINCT doc) docs FROM {_MENT} GROUP BY 1")
+def entity_counts(s, d):
+    return graph.entity_counts(_mentions(s, d))
+
+
+@query()
+def entity_aliases(s, d):
+    return graph.resolve(entity_counts(s, d))
+
+
+@query(f"SELECT a.name subject, 'with' AS predicate, b.name AS object, count(*) n FROM {_MENT} a JOIN {_MENT} b ON a.doc = b.doc AND b.pos = a.pos + 1 GROUP BY 1, 3 ORDER BY n DESC, subject, object LIMIT 100")
+def relation_counts(s, d):
+    from pyspark.sql import Window
+
+    m = _mentions(s, d)
+    pair = m.withColumn("object", F.lead("name").over(Window.partitionBy("doc").orderBy("pos"))).where("object IS NOT NULL")
+    return graph.relation_counts(pair.select(F.col("name").alias("subject"), F.lit("with").alias("predicate"), "object"))
+
+
+@query()
+def evidence_paragraphs(s, d):
+    top = [r.name for r in entity_counts(s, d).orderBy(F.desc("mentions"), "name").limit(20).collect()]
+    return graph.evidence(corpus.paragraphs(docs(s, d)), top)
+
+
+@query()
+def external_answers(s, d):
+    return external.answered(table(s, d, "research_findings"), "question", external.stub)
+
+
+@query()
+def preprocessed(s, d):
+    return corpus.preprocess(docs(s, d), table(s, d, "file_index")).select("file_id", "raw_len", "body")
+
+
+def flagship(s: SparkSession, d: str) -> DataFrame:
+    return preprocessed(s, d)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p4_found, p4_timestamps)}
+    return dict(Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
