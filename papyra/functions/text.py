@@ -94,8 +94,9 @@ def sentences(c: Column, least: int = 20) -> Column:
 def shingles(c: Column, k: int = 5) -> Column:
     """A3: the distinct k-character pieces of the normalised text; a shorter text is its own piece."""
     s = F.regexp_replace(F.lower(F.trim(c)), r"\s+", " ")
-    signs = F.split(s, "")  # substring is linear in its position, a slice is not
-    many = F.transform(F.sequence(F.lit(1), F.length(s) - (k - 1)), lambda i: F.concat_ws("", F.slice(signs, i, F.lit(k))))
+    # bound as a lambda variable, so that the text is normalised and split once and not for every piece
+    cut = lambda signs: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(signs) - (k - 1)), lambda i: F.concat_ws("", F.slice(signs, i, F.lit(k)))))
+    many = F.element_at(F.transform(F.array(F.split(s, "")), cut), 1)
     return F.when(F.length(s) < k, F.array(s)).otherwise(F.array_distinct(many))
 
 
@@ -156,8 +157,8 @@ def block_kind(line: Column) -> Column:
     """F22 for one line."""
     s = F.trim(line)
     return (
-        F.when(s == "", "blank").when(s.rlike(r"^#{1,6}\s+"), "heading").when(s.rlike(r"^(-{3,}|\*{3,}|_{3,})$"), "rule").when(s.rlike(r"^```"), "fence").when(s.rlike(r"^\[\^[^\]]+\]:"), "footnote")
-        .when(s.rlike(r"^\|.*\|$"), "table").when(s.rlike(r"^[-*+]\s+"), "bullet").when(s.rlike(r"^\d+\.\s+"), "numbered").when(s.rlike(r"^>"), "quote").otherwise("text")
+        F.when(s == "", "blank").when(s.rlike(r"^#{1,6}\s+"), "heading").when(s.rlike(r"(?d)^(-{3,}|\*{3,}|_{3,})$"), "rule").when(s.rlike(r"^```"), "fence").when(s.rlike(r"^\[\^[^\]]+\]:"), "footnote")
+        .when(s.rlike(r"(?d)^\|.*\|$"), "table").when(s.rlike(r"^[-*+]\s+"), "bullet").when(s.rlike(r"^\d+\.\s+"), "numbered").when(s.rlike(r"^>"), "quote").otherwise("text")
     )
 
 

@@ -18,7 +18,7 @@ _TURN = "array<struct<role:string,type:string,author:string,content:string,text:
 
 def corpus_dir(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """One row per .txt file whose name does not start with _ or a dot, header fields and body split."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.txt").text(path)
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=recursive, pathGlobFilter="*.txt")
     d = raw.select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("filepath"), F.col("_metadata.file_name").alias("filename"))
     return parse_documents(d.where(~F.col("filename").rlike(r"^[_.]")), "raw")
 
