@@ -152,7 +152,8 @@ def fit(sample: list[tuple[str, str]], idf: np.ndarray, per_text: int = 12, seed
     if not bags:
         return codes, np.zeros((SIZE, len(codes))), 1.0
     y, own = np.array(ys), np.array(owner)
-    held = own % 5 == 0
+    side = rng.integers(0, 10, len(sample))[own]  # texts go to halves and to the held-out part by chance
+    held = side < 2
     score = lambda w, i: bags[i][1] @ w[bags[i][0]] * SCALE
 
     def train(rows: np.ndarray, epochs: int) -> np.ndarray:
@@ -164,8 +165,8 @@ def fit(sample: list[tuple[str, str]], idf: np.ndarray, per_text: int = 12, seed
 
     good = np.zeros(len(bags), bool)
     for half in (0, 1):  # each half is judged by what the other half teaches: no label vouches for itself
-        other = train(np.flatnonzero(own % 2 != half), 1)
-        for i in np.flatnonzero(own % 2 == half).tolist():
+        other = train(np.flatnonzero(side % 2 != half), 1)
+        for i in np.flatnonzero(side % 2 == half).tolist():
             s = score(other, i)
             good[i] = s.argmax() == y[i] or s.max() - s[y[i]] < 0.7
     w = train(np.flatnonzero(~held & good), 2)
