@@ -46,3 +46,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores where the input has fewer files than there are cores.
+
+    A file of one row group is one task however large it is, which heavy per-row work would wait
+    for. Inputs of many files, and frames without files, stay as they are: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores, key) if 0 < len(df.inputFiles()) < cores else df
