@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from papyra.llm import textscan as ts
 from papyra.llm.tokens import chunks
+from papyra.operators.common import spread
 
 BITS = 15
 SIZE = 1 << BITS
@@ -262,7 +263,7 @@ def identify_languages(docs: DataFrame, labels: DataFrame, key: str = "doc_id",
     ``said`` is the code its label stands for, null where the label is missing or unknown.
     """
     spark = docs.sparkSession
-    src = with_codes(docs, labels, key, text, lang)
+    src = spread(with_codes(docs, labels, key, text, lang), "doc_id")
     df = src.select("text").where("text <> ''").mapInArrow(_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # SIZE rows at most
     n = np.zeros(SIZE)
     n[df["bucket"].to_numpy()] = df["n"].to_numpy()

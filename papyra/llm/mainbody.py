@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.operators.common import latest, stored
+from papyra.operators.common import latest, spread, stored
 
 BITS = 16
 # Headings of blocks that lead to other pages, and of reader comments.
@@ -210,6 +210,7 @@ def page_frames(pages: DataFrame, key: str = "crawl_id", url: str = "url", text:
     """(key, lines array<int>): the numbers of the lines of each page that are not main body. ``sample`` bounds the pages the classifier is fitted on."""
     host = F.regexp_replace(F.lower(F.regexp_extract(url, r"(?i)^(?:https?://)?([^/?#:]*)", 1)), r"^(?:www\d?|m|amp)\.", "")
     src = pages.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.coalesce(host, F.lit("")).alias("host"), F.col(text).alias("text"), F.col(arrived).cast("timestamp").alias("arrived"))
+    src = spread(src, "id")
     rows = src.select("id", "host", "text").mapInArrow(_paths, "id long, host string, path long, letters int, ends int").dropDuplicates(["host", "path", "id"])
     paths = rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("letters").alias("letters"), F.sum("ends").alias("ends"))
     sites = src.select("host", "id").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
@@ -221,8 +222,8 @@ def page_frames(pages: DataFrame, key: str = "crawl_id", url: str = "url", text:
     common = frozenset(r.path for r in everywhere.select("path").collect())
     picked = src.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(min(1.0, sample / n) * (1 << 30))).join(frames, "host")
     w = fit([(r.text, set(r.frame)) for r in picked.select("id", "text", "frame").sort("id").limit(2 * sample).collect()])
-    spread = frames.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    joined = src.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(spread, ["host", "salt"], "left")
+    salted = frames.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    joined = src.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(salted, ["host", "salt"], "left")
     out = joined.select("id", "arrived", "text", "frame").mapInArrow(_judge(w.tobytes(), common), "id long, arrived timestamp, lines array<int>")
     return latest(out, ["id"], "arrived").select(F.col("id").alias(key), "lines")
 

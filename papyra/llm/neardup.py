@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from papyra.llm import textscan as ts
 from papyra.llm.tokens import chunks
-from papyra.operators.common import latest, stored
+from papyra.operators.common import latest, spread, stored
 
 COORDS, PIECE = 64, 5
 _RNG = np.random.default_rng(20240229)
@@ -163,7 +163,7 @@ def similar_classes(docs: DataFrame, key: str = "file_id", text: str = "body", a
     """(members, links): ``members`` (id, cls, copies) has a row per record that takes part, ``cls`` being the least id of its
     exact class; ``links`` (a, b, similarity) has a row per pair of classes at or above the threshold."""
     src = docs.select(F.col(key).cast("long").alias("id"), F.col(arrived).cast("timestamp").alias("arrived"), F.col(text).alias("text")).where(F.col(key).isNotNull())
-    signed = stored(src.mapInArrow(_sign(min_chars), _SIG), "signed")
+    signed = stored(spread(src, "id").mapInArrow(_sign(min_chars), _SIG), "signed")
     newest = latest(signed.select("id", "arrived", "md5"), ["id"], "arrived").where("md5 IS NOT NULL")
     heads = newest.groupBy("md5").agg(F.min("id").alias("cls"), F.count(F.lit(1)).alias("copies"))
     members = stored(newest.join(heads, "md5").select("id", "cls", "copies"), "members")

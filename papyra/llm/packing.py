@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from papyra.llm import textscan as ts
 from papyra.llm.tokens import chunks, token_counts
-from papyra.operators.common import stored
+from papyra.operators.common import spread, stored
 
 BITS, DIMS = 10, 3
 
@@ -140,7 +140,7 @@ def _pack(capacity: int, window: int):
 def pack_documents(docs: DataFrame, capacity: int, key: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k", folder: str = ts.TOKENIZER_DIR, window: int = 256, docs_per_partition: int = 100_000) -> DataFrame:
     """(container_id, key, piece, start_token, n_tokens): one row per text, or per piece of a text above the capacity."""
     src = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sized = stored(src.mapInArrow(_measure(name, folder), "doc_id long, n_tokens long, curve long"), "sized")
+    sized = stored(spread(src, "doc_id").mapInArrow(_measure(name, folder), "doc_id long, n_tokens long, curve long"), "sized")
     n = max(1, -(-sized.count() // docs_per_partition))
     line = sized.repartitionByRange(n, "curve", "doc_id").sortWithinPartitions("curve", "doc_id", "n_tokens")
     out = line.select("doc_id", "n_tokens").mapInPandas(_pack(capacity, window), "container_id long, doc_id long, piece int, start_token long, n_tokens long")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from papyra.llm import language as lg
 from papyra.llm import textscan as ts
 from papyra.llm.tokens import chunks
-from papyra.operators.common import latest
+from papyra.operators.common import latest, spread
 
 DEFECTS = ["empty", "truncated", "refusal", "copy", "language"]
 SIZE = 1 << 18
@@ -387,5 +387,5 @@ def judge_pairs(pairs: DataFrame, docs: DataFrame, labels: DataFrame, sample: in
     weights, limit = train(rows, Speech(codes, table.tobytes(), t))
     kept = np.flatnonzero(np.abs(weights).max(1) > 0).astype(np.int32)
     job = _judge(codes, table.tobytes(), t, weights[kept].astype(np.float32).tobytes(), kept.tobytes(), limit.tolist())
-    out = pairs.mapInArrow(job, "tbl string, rec_id long, arrived timestamp, defect string, score double")
+    out = spread(pairs, "rec_id").mapInArrow(job, "tbl string, rec_id long, arrived timestamp, defect string, score double")
     return latest(out, ["tbl", "rec_id"], "arrived").drop("arrived")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papyra.llm import textscan as ts
-from papyra.operators.common import stored
+from papyra.operators.common import spread, stored
 
 CHARS = 1_500_000  # code points scanned at a time: bounds the arrays of a batch
 
@@ -148,7 +148,7 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k", folder: str = ts.TOKENIZER_DIR, block_docs: int = 8000) -> DataFrame:
     """(key, ids): the ids of each text by a byte-level vocabulary of at most 65,536 entries."""
     src = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    blocks = stored(src.mapInArrow(_blocks(block_docs), BLOCK), "blocks")
+    blocks = stored(spread(src, "doc_id").mapInArrow(_blocks(block_docs), BLOCK), "blocks")
     pairs = blocks.select(F.explode(F.arrays_zip("keys", "words")).alias("w")).select(F.col("w.keys").alias("key"), F.col("w.words").alias("word"))
     table = pairs.dropDuplicates(["key"]).mapInArrow(_encode(name, folder), "key long, ids binary")
     back = blocks.select("block", F.posexplode("keys").alias("pos", "key")).join(table, "key")
