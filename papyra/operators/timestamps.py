@@ -41,7 +41,7 @@ ZONE_WORDS = {"北京时间": 480, "日本時間": 540}
 _MIDDLE = r"(?:\s*[,T\-]?\s*|\s*,?\s+(?:um|at|à|a las|às|kl\.)\s+)"
 _ZONE = r"(z|[+\-−]\d{1,2}:?\d{2}|[+\-−]\d{2}|\p{L}{2,5}|[（(]\s*[\p{L}]+\s*[)）])?"
 DATES = {  # name: (pattern, (year, month, day, rest))
-    "ymd": (r"^(\d{4})(?:-|/|\.|\s*年\s*)(\d{1,2})(?:-|/|\.|\s*月\s*)(\d{1,2})日?((?:[^\d].*)?)$", (1, 2, 3, 4)),
+    "ymd": (r"^(\d{4})(?:-|/|\.|\s*年\s*)(\d{1,2})(?:-|/|\.|\s*月\s*)(\d{1,2})日?+((?:(?:(?<=日)|[^\d]).*)?)$", (1, 2, 3, 4)),
     "compact": (r"^(\d{4})(\d{2})(\d{2})((?:T\d.*)?)$", (1, 2, 3, 4)),
     "numeric": (r"^(\d{1,2})[./\-](\d{1,2})[./\-](\d{4})((?:[^\d].*)?)$", None),
     "day_first": (r"^(\d{1,2})(?:st|nd|rd|th|er|º|\.)?\s+(?:de\s+)?(\p{L}+)\.?\s+(?:de\s+)?(\d{4})((?:[^\d].*)?)$", (3, 2, 1, 4)),

@@ -34,6 +34,11 @@ def test_timestamp_formats(spark):
     ]
 
 
+def test_timestamp_time_right_after_the_day_sign(spark):
+    got = utc(spark, ("2025年3月1日2时34分", "C"), ("Posted on 2024年10月05日22时57分（北京时间）", None), ("２０２４年１０月０５日２２时５７分", "C"), ("2025年3月1日", "C"), ("2025年3月1日2", "C"), ("2025-03-0112:30", "C"))
+    assert got == ["2025-02-28T18:34:00.000000Z", "2024-10-05T14:57:00.000000Z", "2024-10-05T14:57:00.000000Z", "2025-02-28T16:00:00.000000Z", None, None]
+
+
 @pytest.mark.parametrize("zone,source", [("America/New_York", "A Post"), ("Europe/Berlin", "B Bote")])
 def test_timestamp_daylight_saving_agrees_with_zoneinfo(spark, zone, source):
     days = ["2024-03-10", "2024-03-31", "2024-10-27", "2024-11-03", "2024-07-01"]
