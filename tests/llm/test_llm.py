@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -150,6 +151,24 @@ def test_scans(spark):
     assert scans.read_scans(d.where("false")).count() == 0
 
 
+def test_scans_count_every_word(spark):
+    rows = [(i, f"{prose(i, 8)}\n\nThe bat came out at night {i}.", AT) for i in range(30)] + [(50, f"{prose(50, 8)}\n\nThe hat came out at night.", AT), (51, f"{prose(51, 8)}\n\nThe st†tion is cl0sed and the sta-\ntion waits for winte1.", AT)]
+    d = spark.createDataFrame(rows, "extract_id long, text string, extracted_at timestamp")
+    got = {r.extract_id: r for r in scans.read_scans(d).collect()}
+    assert got[50].cases == [] and "hat came" in got[50].repaired and {c.kind for c in got[51].cases} >= {"ocr"}
+
+    class Full(dict):
+        def __contains__(self, k):
+            return True
+
+    counts = {k: n for b in scans._counts(iter([pa.record_batch([pa.array([t for _, t, _ in rows])], names=["text"])])) for k, n in zip(*(c.to_pylist() for c in b.columns))}
+    full = scans.Lexicon(Full({k[1:]: n for k, n in counts.items() if k[0] == "w"}), {}, {})
+    for i, t, _ in rows:
+        y = [scans.BODY if x.strip() else scans.BLANK for x in t.split("\n")]
+        cases, text = scans.read_text(t, y, full)
+        assert [(c.line_no, c.kind) for c in got[i].cases if c.kind in ("ocr", "hyphen")] == cases and got[i].repaired == text
+
+
 def test_pairs(spark):
     r = random.Random(3)
     q = [f"Why did {r.choice(WORDS)} {r.choice(WORDS)} change the {r.choice(WORDS)} in {1990 + i % 30}?" for i in range(400)]
