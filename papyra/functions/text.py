@@ -52,7 +52,7 @@ def html_text(c: Column) -> Column:
     """Scripts and styles dropped, tags to blanks, white space collapsed."""
     c = F.regexp_replace(c, r"(?is)<script[^>]*>.*?</script>", "")
     c = F.regexp_replace(c, r"(?is)<style[^>]*>.*?</style>", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(c, r"<[^>]+>", " "), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(c, r"<[^>]+>", " "), r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 def source_label(source: Column, published: Column, filename: Column) -> Column:
@@ -107,7 +107,7 @@ def clean_json(c: Column) -> Column:
 
 def strip_citations(c: Column) -> Column:
     """F11."""
-    return F.regexp_replace(c, r"\s*\[\d+\]", "")
+    return F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]*\[\d+\]", "")
 
 
 def mark_unverified(c: Column, numbers: list[int]) -> Column:

@@ -176,6 +176,13 @@ def html_import(s, d):
     return t.select("crawl_id", F.md5(T.html_text(page)).alias("text_md5"))
 
 
+@query()
+def html_import_whole(s, d):
+    t = corpus.once(table(s, d, "crawl_results"), "crawl_id").where("text IS NOT NULL")
+    page = F.concat(F.lit("<p>"), F.replace("text", F.lit("\n"), F.lit("</p><p>")), F.lit("</p>"))
+    return t.select("crawl_id", F.md5(T.html_text(page)).alias("text_md5"))
+
+
 @query("SELECT crawl_id, platform, concat_ws('_', platform, coalesce(nullif(substr(regexp_extract(url, 'share/([a-zA-Z0-9_-]+)', 1), 1, 30), ''), nullif(substr(regexp_extract(url, '([a-zA-Z0-9]{10,})', 1), 1, 30), ''), 'import')) slug FROM (SELECT crawl_id, any_value(url) url, CASE WHEN NOT regexp_matches(trim(any_value(url)), '^https?://') THEN 'file' WHEN regexp_matches(lower(any_value(url)), 'chatgpt\\.com|chat\\.openai\\.com') THEN 'chatgpt' WHEN regexp_matches(lower(any_value(url)), 'gemini\\.google\\.com|g\\.co/gemini') THEN 'gemini' WHEN regexp_matches(lower(any_value(url)), 'perplexity\\.ai') THEN 'perplexity' ELSE 'generic' END platform FROM crawl_results WHERE url IS NOT NULL GROUP BY 1)")
 def url_slugs(s, d):
     t = corpus.once(table(s, d, "crawl_results"), "crawl_id").where("url IS NOT NULL")
@@ -259,6 +266,12 @@ def citation_marks(s, d):
     return f.select("finding_id", F.md5(T.strip_citations(F.col("answer"))).alias("stripped_md5"), F.md5(T.mark_unverified(F.col("answer"), [1, 3])).alias("marked_md5"))
 
 
+@query()
+def citation_marks_whole(s, d):
+    f = corpus.once(table(s, d, "research_findings"), "finding_id").where("answer IS NOT NULL")
+    return f.select("finding_id", F.md5(T.strip_citations(F.col("answer"))).alias("stripped_md5"), F.md5(T.mark_unverified(F.col("answer"), [1, 3])).alias("marked_md5"))
+
+
 @query(f"SELECT category, md5(string_agg('--- 来自文件: ' || coalesce(filename, '') || ' ---' || chr(10) || coalesce(body, ''), chr(10) || chr(10) ORDER BY filename NULLS FIRST, body NULLS FIRST)) corpus_md5 FROM {_DOCS} GROUP BY 1")
 def corpus_by_category(s, d):
     return corpus.concat_by(docs(s, d), "category", "filename", "body").select("category", F.md5("corpus").alias("corpus_md5"))

@@ -102,6 +102,22 @@ def test_summary_is_a_subsequence(spark):
     assert len(kept) == 3 and got[1].summary == "" and [int(k.split()[1]) for k in kept] == sorted(int(k.split()[1]) for k in kept)
 
 
+def test_whole_texts_through_citation_and_html_queries(spark, tmp_path):
+    import hashlib
+    import re
+
+    from papyra.plans import queries
+
+    texts = ["见图\u3000[1]，再见 [３]。", "a “quote”\u00a0[3] é\x1d[2]", "plain [1]\nline\u2003 two", "日本語\u3000\u3000本文\n\u2028終わり", None]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "finding_id long, answer string").write.parquet(f"{tmp_path}/research_findings.parquet")
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "crawl_id long, text string").write.parquet(f"{tmp_path}/crawl_results.parquet")
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    want = {i: (md5(re.sub(r"\s*\[\d+\]", "", t)), md5(t.replace("[1]", "[1 待验证]").replace("[3]", "[3 待验证]"))) for i, t in enumerate(texts) if t is not None}
+    assert {r.finding_id: (r.stripped_md5, r.marked_md5) for r in queries.citation_marks_whole(spark, str(tmp_path)).collect()} == want
+    pages = {i: md5(re.sub(r"\s+", " ", re.sub(r"<[^>]+>", " ", "<p>" + t.replace("\n", "</p><p>") + "</p>")).strip()) for i, t in enumerate(texts) if t is not None}
+    assert {r.crawl_id: r.text_md5 for r in queries.html_import_whole(spark, str(tmp_path)).collect()} == pages
+
+
 def test_external_calls_each_prompt_once(spark):
     d = spark.createDataFrame([("a",), ("a",), (None,), ("b",)], "p string")
     first = external.answered(d, "p", external.stub)
