@@ -1,4 +1,4 @@
-"""The corpus pipeline: fields, status and length filters, clean-up, exact and paragraph deduplication."""
+"""The corpus pipeline: fields, status and length filters, clean-up, deduplication, relevance, groups and summaries."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyra.functions import text as T
+from papyra.operators import cluster, firstkept, rank
+from papyra.operators.common import stored
 
 
 def once(df: DataFrame, key: str) -> DataFrame:
@@ -52,9 +54,16 @@ def dedup_paragraphs(docs: DataFrame, least: int = 100) -> DataFrame:
 
 
 def preprocess(docs: DataFrame, index: DataFrame, min_chars: int = 500) -> DataFrame:
-    """The deterministic pipeline up to exact deduplication: status, length and MD5 of the raw body, clean-up."""
+    """E1 with branch A: (file_id, raw_len, body, score, cluster, summary).
+
+    Status, length of the raw body, clean-up, exact, near and paragraph deduplication, relevance, then groups and
+    summaries of what is left; statistics lines go from the summaries (P7)."""
     d = filter_status(with_fields(docs), index).where(F.col("raw_len") >= min_chars)
-    return dedup_exact(d).withColumn("body", T.remove_boilerplate(F.col("body")))
+    d = stored(dedup_exact(d).select("file_id", "raw_len", T.remove_boilerplate(F.col("body")).alias("body")), "cleaned")
+    d = d.join(firstkept.kept_first(d).where("kept").select("file_id"), "file_id", "left_semi")
+    d = stored(d.select("file_id", "raw_len").join(dedup_paragraphs(d), "file_id"), "deduped")
+    short = rank.summaries(d, "file_id", "body").select("file_id", T.strip_meta_header(F.col("summary")).alias("summary"))
+    return d.join(rank.relevance(d), "file_id").join(cluster.clusters(d, "file_id", "body"), "file_id").join(short, "file_id")
 
 
 def stats(df: DataFrame, before: str, after: str) -> DataFrame:

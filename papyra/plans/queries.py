@@ -374,7 +374,13 @@ def external_answers(s, d):
 
 @query()
 def preprocessed(s, d):
-    return corpus.preprocess(docs(s, d), table(s, d, "file_index")).select("file_id", "raw_len", "body")
+    return corpus.preprocess(docs(s, d), table(s, d, "file_index"))
+
+
+@query()
+def preprocessed_stats(s, d):
+    out = preprocessed(s, d)
+    return corpus.stats(docs(s, d).select("file_id", F.col("body").alias("before")).join(out.select("file_id", "body"), "file_id"), "before", "body")
 
 
 def flagship(s: SparkSession, d: str) -> DataFrame:

@@ -71,6 +71,17 @@ def test_paragraph_dedup_keeps_first_and_repeats_within_one_document(spark):
     assert got == {1: f"{p}\n\nshort\n\n{q}\n\n{q}", 2: "short\n\nnew"}
 
 
+def test_preprocess_runs_all_stages(spark):
+    body = lambda k: "\n\n".join(" ".join(f"Word{k * 31 + i * 7 + j * 3} stands in line {j} of part {i} for case {k}." for j in range(5)) for i in range(4))
+    shared = "This paragraph is printed in two documents and is much longer than one hundred characters, so that it counts as repeated."
+    rows = [(1, "a", body(1) + "\n\n" + shared), (2, "b", body(2) + "\n\n" + shared), (3, "c", body(1) + "\n\n" + shared + " "), (4, "d", body(1) + "\n\n" + shared), (5, "e", body(5)), (6, "f", body(6)), (7, "g", body(7)), (8, "h", "short")]
+    d = spark.createDataFrame([(i, f, f, t) for i, f, t in rows], "file_id long, filename string, filepath string, body string")
+    index = spark.createDataFrame([("g", "failed", 1)], "filename string, status string, line_id long")
+    got = {r.file_id: r for r in corpus.preprocess(d, index).collect()}
+    assert set(got) == {1, 2, 5, 6} and got[1].body.endswith(shared) and got[2].body == body(2)
+    assert all(r.score is not None and r.summary and r.cluster >= 0 for r in got.values())
+
+
 def test_near_first_kept_is_not_transitive(spark):
     base = [f"sentence number {i} about the matter of {i * 7919 % 1000} things. " for i in range(60)]
     a, far = "".join(base), "other words entirely, " * 60
