@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from papyra.operators.common import stored
+
 
 def entity_counts(mentions: DataFrame) -> DataFrame:
     """A6 from (doc, pos, name, label): (name, label of the first mention, mentions, docs). Aggregates map-side."""
@@ -18,27 +19,28 @@ def relation_counts(triples: DataFrame, n: int = 100) -> DataFrame:
     return triples.groupBy("subject", "predicate", "object").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "subject", "predicate", "object").limit(n)
 
 
-def resolve(entities: DataFrame, top: int = 1000) -> DataFrame:
+def resolve(entities: DataFrame) -> DataFrame:
     """Names folded into the first canonical name of the same label that contains them or lies in them, by falling count.
 
-    Greedy and sequential by nature, so it runs per label over the ``top`` names by count (a top-k
-    report, as its callers show 30 a label); names beyond stand for themselves."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, canon = [], []
-        for r in pdf.sort_values(["mentions", "name"], ascending=[False, True]).itertuples():
-            c = next((x for x in canon if r.name in x or x in r.name), None) if r.rank <= top else None
-            if c is None:
-                c = r.name
-                if r.rank <= top:
-                    canon.append(c)
-            rows.append((r.label, r.name, c, r.mentions))
-        return pd.DataFrame(rows, columns=["label", "name", "canonical", "mentions"])
-
-    ranked = entities.withColumn("rank", F.expr("row_number() over (partition by label order by mentions desc, name)"))
-    head = ranked.where(F.col("rank") <= top).groupBy("label").applyInPandas(run, "label string, name string, canonical string, mentions long")
-    tail = ranked.where(F.col("rank") > top).select("label", "name", F.col("name").alias("canonical"), "mentions")
-    return head.unionByName(tail)
+    Containments come from a join of the names with the pieces of all names. A name is canonical once all earlier
+    names it meets are known not to be, and an alias once one of them is; rounds end when all names are decided."""
+    names = stored(entities.select("label", "name", "mentions"), "names")
+    sizes = sorted(r[0] for r in names.where("name IS NOT NULL").select(F.length("name")).distinct().collect())
+    cut = lambda k: F.transform(F.sequence(F.lit(1), F.length("name") - k + 1), lambda i: F.substr("name", i, F.lit(k)))
+    pieces = F.array_distinct(F.flatten(F.array(*[F.when(F.length("name") > k, cut(k)).otherwise(F.array().cast("array<string>")) for k in sizes or [0]])))
+    big = names.select(F.col("label").alias("l"), F.struct((-F.col("mentions")).alias("m"), "name").alias("a"), F.explode(pieces).alias("piece"))
+    meet = big.join(names, F.col("l").eqNullSafe(F.col("label")) & (F.col("piece") == F.col("name"))).select("label", "a", F.struct((-F.col("mentions")).alias("m"), "name").alias("b"))
+    meet = stored(meet.select("label", F.least("a", "b").alias("first"), F.greatest("a", "b").alias("then")), "meet")
+    same = lambda x, y: F.col(x + ".label").eqNullSafe(F.col(y + ".label"))
+    ends = meet.select("label", F.col("first.name").alias("name")).union(meet.select("label", "then.name")).distinct()
+    state = stored(ends.withColumn("s", F.lit(0)), "state")  # 0 undecided, 1 canonical, 2 alias
+    while not state.where("s = 0").isEmpty():
+        near = meet.alias("e").join(state.alias("x"), same("e", "x") & (F.col("e.first.name") == F.col("x.name"))).groupBy("e.label", F.col("e.then.name").alias("name")).agg(F.max((F.col("s") == 1).cast("int")).alias("hit"), F.max((F.col("s") == 0).cast("int")).alias("open"))
+        new = F.when(F.col("s") > 0, F.col("s")).when(F.col("hit") == 1, 2).when(F.coalesce("open", F.lit(0)) == 0, 1).otherwise(0)
+        state = stored(state.alias("x").join(near.alias("n"), same("x", "n") & (F.col("x.name") == F.col("n.name")), "left").select("x.label", "x.name", new.alias("s")), "state")
+    canon = meet.alias("e").join(state.where("s = 1").alias("x"), same("e", "x") & (F.col("e.first.name") == F.col("x.name"))).groupBy("e.label", F.col("e.then.name").alias("name")).agg(F.min("e.first").alias("c"))
+    out = names.alias("n").join(canon.alias("c"), same("n", "c") & (F.col("n.name") == F.col("c.name")), "left")
+    return out.select("n.label", "n.name", F.coalesce("c.c.name", "n.name").alias("canonical"), "n.mentions")
 
 
 def evidence(paras: DataFrame, names: list[str], least: int = 2, n: int = 50) -> DataFrame:

@@ -106,6 +106,20 @@ def test_resolve_aliases(spark):
     assert got[("ORG", "Ulm Grid")] == "Grid" and got[("ORG", "Bank")] == "Bank" and got[("GPE", "Grid")] == "Grid"
 
 
+def test_resolve_aliases_beyond_a_thousand_names(spark):
+    import random
+
+    r = random.Random(1)
+    rows = [(f"N{i:04d}x", "ORG", 5000 - i) for i in range(1100)] + [("The N1050x Bank", "ORG", 1)] + [(t, "LOC", r.randrange(1, 6)) for t in sorted({"".join(r.choice("abc") for _ in range(r.randrange(1, 7))) for _ in range(60)})]
+    want, canon = {}, {}
+    for name, label, n in sorted(rows, key=lambda x: (-x[2], x[0])):
+        c = next((x for x in canon.setdefault(label, []) if name in x or x in name), None)
+        want[label, name] = c or name
+        canon[label] += [] if c else [name]
+    got = graph.resolve(spark.createDataFrame(rows, "name string, label string, mentions long")).collect()
+    assert {(x.label, x.name): x.canonical for x in got} == want and len(got) == len(rows)
+
+
 def test_summary_is_a_subsequence(spark):
     text = " ".join(f"Sentence {i} speaks about topic {i % 3} at some length." for i in range(12))
     got = rank.summaries(spark.createDataFrame([(1, text), (2, None), (3, "short")], "id long, t string"), "id", "t", 3).collect()
