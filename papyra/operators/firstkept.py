@@ -33,28 +33,27 @@ def hash_(x: str | bytes) -> int:
     return (zlib.crc32(x) * 0x9E3779B1 ^ zlib.adler32(x)) & 0xFFFFFFFF
 
 
-def kept_first(docs: DataFrame, key: str = "file_id", text: str = "body", rounds: int = 60) -> DataFrame:
+def kept_first(docs: DataFrame, key: str = "file_id", text: str = "body") -> DataFrame:
     """(key, kept): a document goes if it shares a band with an earlier one that stays.
 
     Documents of one band are linked in a chain of bucket minima rather than pairwise: within a
     bucket every later member collides with every earlier one, so exactly the first member still
     undecided or kept matters, and each round compares members with that minimum only. Rounds end
-    when nothing is undecided; each is written to the shared folder."""
+    when nothing is undecided, and the first undecided document is decided in each, so they do end;
+    each is written to the shared folder."""
 
     @F.pandas_udf("array<long>")
     def bands(s: pd.Series) -> pd.Series:
         return s.map(_bands)
 
-    rows = stored(docs.select(F.col(key).alias("id"), F.explode(bands(F.coalesce(F.col(text), F.lit("")))).alias("band")), "bands")
+    rows = stored(docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.explode(bands(F.coalesce(F.col(text), F.lit("")))).alias("band")), "bands")
     crowded = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
     rows = stored(rows.join(crowded, "band"), "crowded")
     state = stored(rows.select("id").distinct().withColumn("s", F.lit(0)), "state")  # 0 undecided, 1 kept, 2 dropped
-    for _ in range(rounds):
+    while not state.where("s = 0").isEmpty():
         open_ = rows.join(state, "id").where("s < 2")
         low = open_.groupBy("band").agg(F.min("id").alias("low"), F.min(F.when(F.col("s") == 1, F.col("id"))).alias("kept"))
         seen = open_.join(low, "band").groupBy("id", "s").agg(F.min("low").alias("low"), F.max(F.coalesce(F.col("kept") < F.col("id"), F.lit(False))).alias("hit"))
         new = seen.select("id", F.when(F.col("s") == 1, 1).when(F.col("hit"), 2).when(F.col("low") == F.col("id"), 1).otherwise(0).alias("n"))
         state = stored(state.join(new, "id", "left").select("id", F.coalesce("n", "s").alias("s")), "state")
-        if state.where("s = 0").isEmpty():
-            break
     return docs.select(F.col(key).alias("id")).join(state, "id", "left").select(F.col("id").alias(key), (F.coalesce("s", F.lit(1)) != 2).alias("kept"))

@@ -90,6 +90,19 @@ def test_near_first_kept_is_not_transitive(spark):
     assert got[1] and not got[2] and got[3] and set(got) == {1, 2, 3, 4, 5}
 
 
+def test_near_first_kept_decides_long_chains(spark, monkeypatch):
+    chain = F.udf(lambda t: [int(t), int(t) + 1], "array<long>")
+    monkeypatch.setattr(firstkept.F, "pandas_udf", lambda kind: lambda f: chain)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        d = spark.createDataFrame([(i, str(i)) for i in range(66)] + [(None, "5")], "file_id long, body string").coalesce(1)
+        got = {r.file_id: r.kept for r in firstkept.kept_first(d).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == {i: i % 2 == 0 for i in range(66)} | {None: True}
+
+
 def test_chapters_contexts_and_chunks(spark):
     d = spark.createDataFrame([(1, "head\n## 1. One\nalpha\n## 2. Two\nbeta"), (2, "none"), (3, None), (4, "")], "doc_id long, text string")
     ch = reports.chapters(d, "doc_id", "text")
