@@ -1,28 +1,37 @@
-"""M3: grouping of texts by k-means on hashed TF-IDF vectors, the number of groups by silhouette."""
+"""M3: grouping of texts by k-means on TF-IDF vectors, the number of groups by silhouette."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import IDF, HashingTF, Normalizer
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papyra.functions import text as T
+from papyra.operators import rank
+
 
+def clusters(docs: DataFrame, key: str, text: str, k_min: int = 3, k_max: int = 10, inits: int = 10, seed: int = 42) -> DataFrame:
+    """(key, cluster): every text in one group; up to three texts, or texts without common terms, form one group of -1.
 
-def clusters(docs: DataFrame, key: str, text: str, k_min: int = 3, k_max: int = 10, features: int = 1024, seed: int = 42) -> DataFrame:
-    """(key, cluster): every text in one group; up to three texts form one group each of -1."""
+    Terms and weights are those of M1. Of each number of groups the best of ``inits`` starts is taken."""
     n = docs.count()
-    if n <= 3:
+    voc = rank.vocabulary(rank.term_counts(docs, key, text), n).collect() if n > 3 else []
+    if not voc:
         return docs.select(key, F.lit(-1).alias("cluster"))
     d = docs.select(key, T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("words"))
-    tf = HashingTF(inputCol="words", outputCol="tf", numFeatures=features).transform(d)
-    x = Normalizer(inputCol="tfidf", outputCol="features").transform(IDF(inputCol="tf", outputCol="tfidf", minDocFreq=2).fit(tf).transform(tf)).select(key, "features").persist()
+    tf = CountVectorizerModel.from_vocabulary([r.term for r in voc], inputCol="words", outputCol="tf").transform(d)
+    idf = ElementwiseProduct(scalingVec=Vectors.dense([math.log((1 + n) / (1 + r.df)) + 1 for r in voc]), inputCol="tf", outputCol="tfidf")
+    x = Normalizer(inputCol="tfidf", outputCol="features").transform(idf.transform(tf)).select(key, "features").persist()
     best, top = None, -2.0
     for k in range(k_min, min(k_max, n - 1) + 1):
-        m = KMeans(k=k, seed=seed, maxIter=20).fit(x)
-        s = ClusteringEvaluator().evaluate(m.transform(x)) if k > 1 else -1.0
+        m = min((KMeans(k=k, seed=seed + i, maxIter=20).fit(x) for i in range(inits)), key=lambda m: m.summary.trainingCost)
+        got = m.transform(x)
+        s = ClusteringEvaluator().evaluate(got) if got.select("prediction").distinct().count() > 1 else -1.0
         if s > top:
             best, top = m, s
     return best.transform(x).select(key, F.col("prediction").alias("cluster"))

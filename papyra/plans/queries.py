@@ -166,7 +166,7 @@ def text_summaries(s, d):
 
 @query()
 def text_clusters(s, d):
-    return cluster.clusters(docs(s, d), "file_id", "body", k_max=6)
+    return cluster.clusters(docs(s, d), "file_id", "body")
 
 
 @query("SELECT crawl_id, md5(trim(regexp_replace(regexp_replace(concat('<p>', replace(text, chr(10), '</p><p>'), '</p>'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))) text_md5 FROM (SELECT crawl_id, regexp_replace(any_value(text), '[^ -~\\n]', '', 'g') AS text FROM crawl_results GROUP BY 1) WHERE text IS NOT NULL")

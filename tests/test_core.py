@@ -72,7 +72,7 @@ def test_paragraph_dedup_keeps_first_and_repeats_within_one_document(spark):
 
 
 def test_preprocess_runs_all_stages(spark):
-    body = lambda k: "\n\n".join(" ".join(f"Word{k * 31 + i * 7 + j * 3} stands in line {j} of part {i} for case {k}." for j in range(5)) for i in range(4))
+    body = lambda k: "\n\n".join(" ".join(f"Word{k * 31 + i * 7 + j * 3} stands in line {j} of part {i} for case {k} on topic{k % 2}." for j in range(5)) for i in range(4))
     shared = "This paragraph is printed in two documents and is much longer than one hundred characters, so that it counts as repeated."
     rows = [(1, "a", body(1) + "\n\n" + shared), (2, "b", body(2) + "\n\n" + shared), (3, "c", body(1) + "\n\n" + shared + " "), (4, "d", body(1) + "\n\n" + shared), (5, "e", body(5)), (6, "f", body(6)), (7, "g", body(7)), (8, "h", "short")]
     d = spark.createDataFrame([(i, f, f, t) for i, f, t in rows], "file_id long, filename string, filepath string, body string")
@@ -133,6 +133,17 @@ def test_resolve_aliases_beyond_a_thousand_names(spark):
     assert {(x.label, x.name): x.canonical for x in got} == want and len(got) == len(rows)
 
 
+def test_text_clusters_searches_the_whole_range(spark, monkeypatch, tmp_path):
+    from papyra.plans import queries
+
+    d = spark.createDataFrame([(i, f"the topic{i % 8}x topic{i % 8}y") for i in range(16)], "file_id long, body string")
+    d.write.parquet(f"{tmp_path}/corpus_docs.parquet")
+    run = queries.cluster.clusters
+    monkeypatch.setattr(queries.cluster, "clusters", lambda *a, **k: run(*a, **({"k_min": 7, "inits": 2} | k)))
+    got = {r.file_id: r.cluster for r in queries.text_clusters(spark, str(tmp_path)).collect()}
+    assert len(set(got.values())) == 8 and all(got[i] == got[i + 8] for i in range(8))
+
+
 def test_summary_is_a_subsequence(spark):
     text = " ".join(f"Sentence {i} speaks about topic {i % 3} at some length." for i in range(12))
     got = rank.summaries(spark.createDataFrame([(1, text), (2, None), (3, "short")], "id long, t string"), "id", "t", 3).collect()
