@@ -138,14 +138,14 @@ class Ftrl:
 SCALE = 10.0  # the L1-normalised TF-IDF vectors are short; this keeps the weights of a workable size
 
 
-def fit(sample: list[tuple[str, str]], idf: np.ndarray, per_text: int = 12, seed: int = 7) -> tuple[list[str], np.ndarray, float]:
-    """(codes, weights [bucket, code], temperature) from (text, code) pairs."""
+def fit(sample: list[tuple[str, str]], idf: np.ndarray, per_text: int = 12, seed: int = 7, least: int = 10, quoted: bool = False) -> tuple[list[str], np.ndarray, float]:
+    """(codes, weights [bucket, code], temperature) from (text, code) pairs; ``quoted`` texts are taken as they are, those of under ``least`` letters not."""
     rng = np.random.default_rng(seed)
     codes = sorted({c for _, c in sample})
     at = {c: i for i, c in enumerate(codes)}
     bags, ys, owner = [], [], []
     for d, (text, c) in enumerate(sample):
-        pars = [p for p in paragraphs(text) if sum(map(str.isalpha, p)) >= 10][:per_text]
+        pars = [p for p in ([text] if quoted else paragraphs(text)) if sum(map(str.isalpha, p)) >= least][:per_text]
         got = [b for b in _bag(pars, idf) if len(b[0])] if pars else []
         bags += got
         ys += [at[c]] * len(got)

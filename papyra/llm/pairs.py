@@ -4,9 +4,12 @@ A multi-label linear classifier (one logistic model per defect, trained by follo
 regularised-leader) over hashed n-grams of the answer, tail features and pair features. It is
 trained on a bounded sample of real pairs (taken as whole) and on the same pairs made defective:
 emptied, cut off, refused, copied, or swapped with an answer in another language. Pairs of the
-sample that a first fit calls defective are left out of the second. The threshold of each defect
-is calibrated on a held-out part. Languages come from the classifier of ``language``, fitted on
-labelled texts.
+sample that a first fit calls defective are left out of the second, but for refusals, which teach it
+wordings that the synthetic ones lack. The threshold of each defect
+is calibrated on a held-out part. Languages come from the classifier of ``language``: that
+of answers is fitted on labelled texts, that of questions on crops of these texts and on the sampled
+questions, each labelled with the language of its answer (labels that the other half of the sample
+contradicts are left out), so that it knows short keyword lists and is no surer of them than it may be.
 
 Scoring is one narrow pass over whole texts. Policies: a null answer is empty; without a question
 only the answer counts; of several deliveries the latest counts; null keys are left out; a pair
@@ -31,6 +34,7 @@ from papyra.llm.tokens import chunks
 from papyra.operators.common import latest, spread
 
 DEFECTS = ["empty", "truncated", "refusal", "copy", "language"]
+REFUSAL = 2
 SIZE = 1 << 18
 # Texts that stand for no answer.
 STAND_INS = ["", " ", "\n", "　", "\xa0", "﻿", "​", "[]", "{}", "()", '""', "''", "null", "none", "nil", "nan", "n/a", "n.a.", "na", "tbd", "todo", "-", "--", "——", ".", "...", "…", "*", "***", "?", "？？", "/", "<p></p>", "<br>", "&nbsp;", "no content", "no answer", "(no answer)", "(empty)", "empty", "undefined", "无", "暂无", "（无）", "（空）", "空", "なし", "(なし)", "keine angabe", "k.a.", "sin respuesta", "s/d", "sans réponse", "néant", "sem resposta"]
@@ -57,8 +61,7 @@ ASKS = {
 _ASKS = {k: re.compile(v, re.I) for k, v in ASKS.items()}
 _ANY = re.compile("|".join(ASKS.values()), re.I)
 _MARKUP = re.compile(r"<[^<>]{0,40}>|&#?\w{1,8};")
-_NAME = re.compile(r"\b[A-ZÀ-Þ]\w*")
-_UNIT = re.compile(r"[^\W\d_]+", re.U)
+_LETTERS = re.compile(r"[^\W\d_]+", re.U)
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _BLANK = " \t\r\n\x0b\x0c　\xa0﻿​‌‍⁠"
 _memo: dict[str, int] = {}
@@ -91,8 +94,8 @@ def _bins(name: str, x: float, edges: tuple) -> str:
     return f"{name}:{sum(x > e for e in edges)}"
 
 
-def _tail(a: str) -> list[str]:
-    """How the answer ends."""
+def _tail(a: str, known: dict[str, int]) -> list[str]:
+    """How the answer ends. ``known`` counts the words of the sample that stand elsewhere than at an end."""
     if not a:
         return []
     lines = a.split("\n")
@@ -117,6 +120,9 @@ def _tail(a: str) -> list[str]:
     words = re.findall(r"\S+", core[-60:])
     if words and kind in ("item", "table", "text"):
         out += [f"w:{kind}:{words[-1][-12:]}", f"w:{kind}:{core[-1:]}", f"w2:{kind}:{core[-2:]}"]
+        if what == "letter":
+            n = known.get(last[-1].lower() if (last := _LETTERS.findall(core[-60:])) else "", 0)
+            out += [f"t:{kind}:known:{(n > 0) + (n > 2)}"] * 2
     if kind == "table":
         rows = [x for x in lines if x.strip().startswith("|")]
         cells = rows[0].count("|")
@@ -131,55 +137,56 @@ def _tail(a: str) -> list[str]:
     return out
 
 
-def features(q: str | None, a: str | None, pq: np.ndarray | None, pa_: np.ndarray, asked: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features of one pair; ``pq`` and ``pa_`` are the language probabilities of its sides."""
-    q, a = (q or "").strip(_BLANK), (a or "").strip(_BLANK)
-    plain = _MARKUP.sub(" ", a)
-    low = plain.lower()
-    words = _UNIT.findall(low)
-    letters = sum(map(len, words))
-    size = _bins("len", letters, (0, 1, 4, 8, 15, 30, 60, 120, 250, 600))
-    names, values = ["bias", size], [1.0, 1.0]
-
-    def add(name: str, v: float = 1.0) -> None:
-        names.append(name)
-        values.append(v)
-
-    if len(low) <= 24:
-        add("all:" + low.strip(_BLANK))
-        add("a_small", 2.0 if letters <= 1 else 0.5)
-    for t in _tail(a):
-        add(t)
-    grams: list[str] = []
-    for w in words:
-        if _CJK.match(w):
-            grams += [w[i : i + 2] for i in range(len(w) - 1)] + [w[i : i + 4] for i in range(0, len(w) - 3)]
-        else:
-            grams.append(w)
-    plainw = [w for w in words if not _CJK.match(w)]
-    grams += [f"{x} {y}" for x, y in zip(plainw, plainw[1:])]
-    if grams:
-        v = 8.0 / max(8, len(grams))
-        names += ["g:" + g for g in grams]
-        values += [v] * len(grams)
-    if q and letters:
-        ql = q.lower()
-        x, y = {ql[i : i + 3] for i in range(len(ql) - 2)}, {low[i : i + 3] for i in range(len(low) - 2)}
-        both = len(x & y)
-        of_a, of_q = both / max(1, len(y)), both / max(1, len(x))
-        for n, z in (("ca", of_a), ("cq", of_q)):
-            add(_bins(n, z, (0.2, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)))
-        add("copy", 3.0 * of_a * of_q)
-        add(_bins("c_both", min(of_a, of_q), (0.4, 0.5, 0.6, 0.7, 0.8, 0.9)))
-        add(_bins("c_cover", of_a, (0.5, 0.6, 0.7, 0.8)) + _bins("|", len(y) / max(1, len(x)), (0.5, 0.9, 1.3, 1.8, 3)))
-        if pq is not None and letters >= 8:
-            ok = pq if asked is None else np.maximum(pq, asked)
-            other = 1.0 - float(ok @ pa_)
-            sure = float(ok[int(pa_.argmax())])  # that the question is in the answer's language
-            add("other", 3.0 * other)
-            add(_bins("other", other, (0.05, 0.2, 0.4, 0.6, 0.8, 0.95)) + _bins("|", sure, (0.01, 0.05, 0.2, 0.5)))
-            add(_bins("other", other, (0.1, 0.5, 0.9)) + "|" + size)
-    return np.fromiter(map(_id, names), np.int64, len(names)), np.array(values)
+def seen_words(texts: list[str]) -> dict[str, int]:
+    """How many of the texts hold each word elsewhere than at the end of the text."""
+    out: dict[str, int] = {}
+    for t in texts:
+        words = [w.lower() for w in _LETTERS.findall(t) if not _CJK.match(w)]
+        for w in set(words[:-1]):
+            out[w] = out.get(w, 0) + 1
+    return out
+
+
+def _grams(low: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, bucket, letters of each text): words and neighbouring words; of ideographs and kana, runs of two and four."""
+    cp, starts, ends = ts.flat(low)
+    if not len(cp):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    letter = ts.classes()[cp] == ts.LETTER
+    cjk = letter & ((cp >= 0x3040) & (cp <= 0x30FF) | (cp >= 0x3400) & (cp <= 0x9FFF))
+    p = ts.prefix(cp)
+    edge = np.diff(np.concatenate([[False], letter & ~cjk, [False]]).astype(np.int8))
+    s, e = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    d, h = np.searchsorted(ends, s), ts.mix(ts.span_hash(p, s, e))
+    pair = np.flatnonzero(d[1:] == d[:-1])
+    at, hs = [d, d[pair]], [h, ts.mix(h[pair] * np.uint64(3) + h[pair + 1])]
+    for n in (2, 4):
+        i = np.flatnonzero(np.logical_and.reduce([cjk[j : len(cjk) - n + 1 + j] for j in range(n)])) if len(cjk) >= n else np.zeros(0, np.int64)
+        at.append(np.searchsorted(ends, i))
+        hs.append(ts.mix(ts.span_hash(p, i, i + n), n))
+    first, size, _ = KINDS["g"]
+    return np.concatenate(at), (np.concatenate(hs) % np.uint64(size)).astype(np.int64) + first, np.add.reduceat(letter.astype(np.int64), starts)
+
+
+def _overlap(qs: list[str], low: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct three-sign pieces of each question, of each answer, and of both."""
+
+    def keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        cp, _, ends = ts.flat(texts)
+        if len(cp) < 3:
+            return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+        c = cp.astype(np.uint64)
+        h = ts.mix((c[:-2] << np.uint64(42)) ^ (c[1:-1] << np.uint64(21)) ^ c[2:]) >> np.uint64(20)
+        i = np.arange(len(h))
+        d = np.searchsorted(ends, i)
+        ok = i + 2 < ends[d]
+        k = np.unique(h[ok] | (d[ok].astype(np.uint64) << np.uint64(44)))
+        return k, np.bincount((k >> np.uint64(44)).astype(np.int64), minlength=len(texts))
+
+    x, nx = keys(qs)
+    y, ny = keys(low)
+    both = np.intersect1d(x, y, assume_unique=True)
+    return nx, ny, np.bincount((both >> np.uint64(44)).astype(np.int64), minlength=len(qs))
 
 
 class Speech:
@@ -190,16 +197,19 @@ class Speech:
         self.m = np.frombuffer(table, np.float32).reshape(lg.SIZE, len(codes) + 1)
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
-        cp, starts, _ = ts.flat(texts)
-        g, _ = lg.grams(cp)
-        v = self.m[g[0]]
-        v += self.m[g[1]]
-        v += self.m[g[2]]
-        v = np.add.reduceat(v, starts, axis=0)
-        s = np.where(v[:, -1:] > 0, v[:, :-1] / np.maximum(v[:, -1:], 1e-9), 0) * (lg.SCALE / self.t)
-        s -= s.max(1, keepdims=True)
-        p = np.exp(s)
-        return p / p.sum(1, keepdims=True)
+        out = []
+        for i, j in chunks(texts, 700_000):
+            cp, starts, _ = ts.flat(texts[i:j])
+            g, _ = lg.grams(cp)
+            v = self.m[g[0]]
+            v += self.m[g[1]]
+            v += self.m[g[2]]
+            v = np.add.reduceat(v, starts, axis=0)
+            s = np.where(v[:, -1:] > 0, v[:, :-1] / np.maximum(v[:, -1:], 1e-9), 0) * (lg.SCALE / self.t)
+            s -= s.max(1, keepdims=True)
+            p = np.exp(s)
+            out.append(p / p.sum(1, keepdims=True))
+        return np.concatenate(out) if out else np.zeros((0, len(self.codes)))
 
     def asked(self, q: str | None) -> np.ndarray | None:
         if not q or not _ANY.search(q):
@@ -207,24 +217,75 @@ class Speech:
         return np.array([1.0 if c in _ASKS and _ASKS[c].search(q) else 0.0 for c in self.codes])
 
 
-def _spoken(q: str | None) -> str:
-    """What of a question tells its language: no request for a language, no capitalised names and acronyms where other words remain."""
-    q = _ANY.sub(" ", q or "")
-    bare = _NAME.sub(" ", q)
-    return bare if sum(map(str.isalpha, bare)) >= 12 else q
+def speech(codes: list[str], w: np.ndarray, t: float) -> Speech:
+    table = np.hstack([w, np.ones((lg.SIZE, 1))]).astype(np.float32)
+    table[0, -1] = 0
+    return Speech(codes, table.tobytes(), t)
 
 
-def _extract(pairs: list[tuple], speech: Speech) -> list[tuple[np.ndarray, np.ndarray]]:
-    if not pairs:
-        return []
-    pq, pa_ = speech([_spoken(q) for q, _ in pairs]), speech([a for _, a in pairs])
-    return [features(q, a, pq[i] if q and any(map(str.isalpha, q)) else None, pa_[i], speech.asked(q)) for i, (q, a) in enumerate(pairs)]
+class Reader:
+    """Features of pairs. ``asks`` tells the language of questions, ``says`` that of answers; both have the same codes."""
+
+    def __init__(self, asks: Speech, says: Speech, known: dict[str, int]) -> None:
+        self.asks, self.says, self.known = asks, says, known
+
+    def __call__(self, pairs: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pair, feature, value), by pair."""
+        q = [(x or "").strip(_BLANK) for x, _ in pairs]
+        a = [(x or "").strip(_BLANK) for _, x in pairs]
+        low = [(_MARKUP.sub(" ", x) if "<" in x or "&" in x else x).lower() for x in a]
+        at, bucket, letters = _grams(low)
+        grams = np.bincount(at, minlength=len(pairs))
+        nx, ny, both = _overlap([x.lower() for x in q], low)
+        pq, ps = self.asks([_ANY.sub(" ", x) for x in q]), self.says([x for _, x in pairs])
+        where, names, values = [], [], []
 
+        def add(i: int, name: str, v: float = 1.0) -> None:
+            where.append(i)
+            names.append(_id(name))
+            values.append(v)
 
-def _joined(k: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Values of the same feature added up."""
-    u, at = np.unique(k, return_inverse=True)
-    return u, np.bincount(at, x)
+        for i in range(len(pairs)):
+            n = int(letters[i])
+            size = _bins("len", n, (0, 1, 4, 8, 15, 30, 60, 120, 250, 600))
+            add(i, "bias")
+            add(i, size)
+            if len(low[i]) <= 24:
+                add(i, "all:" + low[i].strip(_BLANK))
+                add(i, "a_small", 2.0 if n <= 1 else 0.5)
+            for t in _tail(a[i], self.known):
+                add(i, t)
+            if not (q[i] and n):
+                continue
+            of_a, of_q = both[i] / max(1, ny[i]), both[i] / max(1, nx[i])
+            for name, z in (("ca", of_a), ("cq", of_q)):
+                add(i, _bins(name, z, (0.2, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)))
+            add(i, "copy", 3.0 * of_a * of_q)
+            add(i, _bins("c_both", min(of_a, of_q), (0.4, 0.5, 0.6, 0.7, 0.8, 0.9)))
+            add(i, _bins("c_cover", of_a, (0.5, 0.6, 0.7, 0.8)) + _bins("|", ny[i] / max(1, nx[i]), (0.5, 0.9, 1.3, 1.8, 3)))
+            if n >= 16 and any(map(str.isalpha, q[i])):
+                asked = self.asks.asked(q[i])
+                ok = pq[i] if asked is None else np.maximum(pq[i], asked)
+                other = 1.0 - float(ok @ ps[i])
+                sure = float(ok[int(ps[i].argmax())])  # that the question is in the answer's language
+                add(i, "other", 3.0 * other)
+                add(i, _bins("other", other, (0.05, 0.2, 0.4, 0.6, 0.8, 0.95)) + _bins("|", sure, (0.01, 0.05, 0.2, 0.5)))
+                add(i, _bins("other", other, (0.1, 0.5, 0.9)) + "|" + size)
+        row = np.concatenate([np.array(where, np.int64), at])
+        k = np.concatenate([np.array(names, np.int64), bucket])
+        x = np.concatenate([np.array(values), 8.0 / np.maximum(8, grams[at])])
+        order = np.argsort(row, kind="stable")
+        return row[order], k[order], x[order]
+
+    def each(self, pairs: list[tuple]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per pair its distinct features, values added up."""
+        out = []
+        for i, j in chunks([(q or "") + (a or "") for q, a in pairs], 300_000):
+            row, k, x = self(pairs[i:j])
+            for k_, x_ in zip(*(np.split(v, np.searchsorted(row, np.arange(1, j - i))) for v in (k, x))):
+                u, at = np.unique(k_, return_inverse=True)
+                out.append((u, np.bincount(at, x_)))
+        return out
 
 
 def _spoil(q: str | None, a: str, kind: int, rng: np.random.Generator, others: list[str]) -> str | None:
@@ -275,12 +336,12 @@ def _spoil(q: str | None, a: str, kind: int, rng: np.random.Generator, others: l
 
 
 ALPHA = 0.8  # learning rate
+GRID = np.linspace(-1.5, 1.5, 61)
 
 
 class Model:
     def __init__(self) -> None:
         self.z, self.n = np.zeros((SIZE, len(DEFECTS))), np.zeros((SIZE, len(DEFECTS)))
-        self.limit = np.zeros(len(DEFECTS))
 
     def weights(self, k: np.ndarray | slice = slice(None), alpha: float = ALPHA, l1: float = 0.02, l2: float = 0.005) -> np.ndarray:
         z, n = self.z[k], self.n[k]
@@ -294,15 +355,41 @@ class Model:
         self.n[k] += g * g
 
 
-def train(pairs: list[tuple], speech: Speech, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """(weights [feature, defect], thresholds) from a sample of (question, answer)."""
+def crops(said: list[tuple[str, str]], rng: np.random.Generator, each: int = 3) -> list[tuple[str, str]]:
+    """Short runs of words (of signs, where words are not parted) from labelled texts."""
+    out = []
+    for t, c in said:
+        for _ in range(each):
+            a = int(rng.integers(max(1, len(t) - 80)))
+            part = t[a : a + 120]
+            n = int(rng.integers(4, 11))
+            out.append((part[: 2 * n] if len(_CJK.findall(part)) > len(part) // 4 else " ".join(part.split()[1 : n + 1]), c))
+    return out
+
+
+def listen(pairs: list[tuple], said: list[tuple[str, str]], says: Speech, rng: np.random.Generator) -> Speech:
+    """The language of questions, taught by crops of labelled texts and by the sample's questions, labelled as their answers sound."""
+    p = says([a for _, a in pairs])
+    own = [(_ANY.sub(" ", q), says.codes[int(p[i].argmax())]) for i, (q, a) in enumerate(pairs) if q and len(a) >= 60 and p[i].max() > 0.9 and says.asked(q) is None]
+    short = [(t, c) for t, c in crops(said, rng) if t]
+    codes, w, t = lg.fit(own + short, np.ones(lg.SIZE), least=4, quoted=True)
+    full = np.zeros((lg.SIZE, len(says.codes)))
+    full[:, [says.codes.index(c) for c in codes]] = w
+    full[:, [i for i, c in enumerate(says.codes) if c not in codes]] = w.min(1, keepdims=True) if len(codes) else 0.0
+    return speech(says.codes, full, t)
+
+
+def train(pairs: list[tuple], said: list[tuple[str, str]], seed: int = 11) -> tuple[np.ndarray, np.ndarray, Reader]:
+    """(weights [feature, defect], thresholds, feature reader) from a sample of (question, answer) and labelled (text, code)."""
     rng = np.random.default_rng(seed)
+    says = speech(*(lg.fit(said, np.ones(lg.SIZE)) if said else (["en"], np.zeros((lg.SIZE, 1)), 1.0)))
     pairs = [(q, a) for q, a in pairs if a and a.strip(_BLANK)]
     if not pairs:
-        return np.zeros((SIZE, len(DEFECTS))), np.full(len(DEFECTS), np.inf)
-    tongue = speech([a for _, a in pairs]).argmax(1)
-    asks = speech([_spoken(q) for q, _ in pairs]).argmax(1)
-    by = {c: [i for i in range(len(pairs)) if tongue[i] == c] for c in range(len(speech.codes))}
+        return np.zeros((SIZE, len(DEFECTS))), np.full(len(DEFECTS), np.inf), Reader(says, says, {})
+    read = Reader(listen(pairs, said, says, rng), says, seen_words([a for _, a in pairs]))
+    tongue = says([a for _, a in pairs]).argmax(1)
+    asks = read.asks([_ANY.sub(" ", q or "") for q, _ in pairs]).argmax(1)
+    by = {c: [i for i in range(len(pairs)) if tongue[i] == c] for c in range(len(says.codes))}
     made, label = [], []
     for i, (q, a) in enumerate(pairs):
         for kind in rng.choice(5, 2, replace=False, p=[0.1, 0.32, 0.2, 0.18, 0.2]).tolist():
@@ -312,14 +399,14 @@ def train(pairs: list[tuple], speech: Speech, seed: int = 11) -> tuple[np.ndarra
                 if not (q and wrong):
                     continue
                 c = int(rng.choice(wrong))
-                if speech.asked(q) is not None and speech.asked(q)[c]:
+                if says.asked(q) is not None and says.asked(q)[c]:
                     continue
                 others = [pairs[by[c][int(rng.integers(len(by[c])))]][1]]
             b = _spoil(q, a, kind, rng, others)
             if b is not None:
                 made.append((q, b))
                 label.append(kind)
-    rows = [_joined(*r) for r in _extract(pairs, speech) + _extract(made, speech)]
+    rows = read.each(pairs + made)
     y = np.zeros((len(rows), len(DEFECTS)))
     y[np.arange(len(pairs), len(rows)), label] = 1.0
     own = np.concatenate([np.arange(len(pairs)), rng.integers(0, len(pairs), len(made))])
@@ -331,9 +418,11 @@ def train(pairs: list[tuple], speech: Speech, seed: int = 11) -> tuple[np.ndarra
         for i in rng.permutation(np.flatnonzero(own % 2 != half)).tolist():
             m.learn(*rows[i], y[i])
         w = m.weights()
-        for i in range(len(pairs)):
-            if i % 2 == half:
-                good[i] = score(w, i).max() < 0
+        for i in range(half, len(pairs), 2):
+            s = score(w, i)
+            good[i] = s.max() < 0
+            if s.argmax() == REFUSAL and s.max() > 0.5:
+                good[i], y[i, REFUSAL] = True, 1.0
     m = Model()
     for _ in range(3):
         for i in rng.permutation(np.flatnonzero(~held & good)).tolist():
@@ -347,26 +436,28 @@ def train(pairs: list[tuple], speech: Speech, seed: int = 11) -> tuple[np.ndarra
         no = no[: int(np.ceil(0.997 * len(no)))]
         if len(yes) and len(no):
             f1 = lambda t: 2 * 0.03 * (yes > t).mean() / (0.03 * (yes > t).mean() + 0.97 * ((no > t).sum() + 0.5) / (len(no) + 1) + 0.03)
-            limit[k] = max(sorted(np.linspace(-1.5, 1.5, 61), key=abs), key=f1)
-    return w, limit
+            got = np.array([f1(t) for t in GRID])
+            limit[k] = GRID[got >= got.max() - 1e-9].mean()  # the middle of what serves best
+    return w, limit, read
 
 
-def _judge(codes: list[str], table: bytes, temperature: float, weights: bytes, kept: bytes, limit: list[float]):
+def _judge(asks: tuple, says: tuple, known: dict[str, int], weights: bytes, kept: bytes, limit: list[float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        speech = Speech(codes, table, temperature)
+        read = Reader(Speech(*asks), Speech(*says), known)
         w = np.zeros((SIZE, len(DEFECTS)), np.float32)
         w[np.frombuffer(kept, np.int32)] = np.frombuffer(weights, np.float32).reshape(-1, len(DEFECTS))
         lim = np.array(limit)
         for b in batches:
-            qs, as_ = b.column(3).to_pylist(), b.column(4).to_pylist()
-            defect, score = [], []
-            for i, j in chunks(as_, 300_000):
-                for k, x in _extract(list(zip(qs[i:j], as_[i:j])), speech):
-                    s = x @ w[k] - lim
-                    best = int(s.argmax())
-                    defect.append(DEFECTS[best] if s[best] > 0 else None)
-                    score.append(float(s[best]))
-            yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array(defect, pa.string()), pa.array(score, pa.float64())], names=["tbl", "rec_id", "arrived", "defect", "score"])
+            pairs = list(zip(b.column(3).to_pylist(), b.column(4).to_pylist()))
+            best, top = [], []
+            for i, j in chunks([(q or "") + (a or "") for q, a in pairs], 300_000):
+                row, k, x = read(pairs[i:j])
+                s = np.add.reduceat(w[k] * x[:, None], np.searchsorted(row, np.arange(j - i)), axis=0) - lim  # every pair has its bias
+                best.append(s.argmax(1))
+                top.append(s.max(1))
+            best, top = (np.concatenate(v) if v else np.zeros(0) for v in (best, top))
+            defect = [DEFECTS[int(d)] if t > 0 else None for d, t in zip(best.tolist(), top.tolist())]
+            yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array(defect, pa.string()), pa.array(top.astype(float), pa.float64())], names=["tbl", "rec_id", "arrived", "defect", "score"])
 
     return run
 
@@ -378,14 +469,12 @@ def judge_pairs(pairs: DataFrame, docs: DataFrame, labels: DataFrame, sample: in
     """
     pairs = pairs.where("rec_id IS NOT NULL").select("tbl", "rec_id", "arrived", "question", "answer")
     said = lg.labelled_sample(lg.with_codes(docs, labels), per_label)
-    codes, w, t = lg.fit(said, np.ones(lg.SIZE)) if said else (["en"], np.zeros((lg.SIZE, 1)), 1.0)
-    table = np.hstack([w, np.ones((lg.SIZE, 1))]).astype(np.float32)
-    table[0, -1] = 0
     n = max(1, pairs.count())
     picked = pairs.where(F.pmod(F.xxhash64("tbl", "rec_id"), F.lit(1 << 30)) < F.lit(int(min(1.0, sample / n) * (1 << 30))))
     rows = [(r.question, r.answer) for r in picked.sort("tbl", "rec_id").limit(2 * sample).collect()]
-    weights, limit = train(rows, Speech(codes, table.tobytes(), t))
+    weights, limit, read = train(rows, said)
     kept = np.flatnonzero(np.abs(weights).max(1) > 0).astype(np.int32)
-    job = _judge(codes, table.tobytes(), t, weights[kept].astype(np.float32).tobytes(), kept.tobytes(), limit.tolist())
+    voices = [(s.codes, s.m.tobytes(), s.t) for s in (read.asks, read.says)]
+    job = _judge(*voices, read.known, weights[kept].astype(np.float32).tobytes(), kept.tobytes(), limit.tolist())
     out = spread(pairs, "rec_id").mapInArrow(job, "tbl string, rec_id long, arrived timestamp, defect string, score double")
     return latest(out, ["tbl", "rec_id"], "arrived").drop("arrived")

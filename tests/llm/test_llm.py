@@ -181,3 +181,25 @@ def test_pairs(spark):
     assert [got[i] for i in range(1000, 1006)] == ["empty", "empty", "copy", "refusal", "truncated", None]
     assert sum(got[i] is not None for i in range(400)) <= 4 and len(got) == 406
     assert pairs.judge_pairs(d.where("false"), docs.where("false"), lab).count() == 0
+
+
+def test_pairs_know_the_language_of_keyword_queries():
+    from papyra.llm.pairs import DEFECTS, train
+
+    said = {
+        "en": ["What matters for the council is the temporary rail link, which weakened the demand forecast before the winter peak.", "Officials linked the programme to the preliminary court ruling and the supply contract in most districts."],
+        "de": ["Die Studie zeigt, wie das Windportfolio die Exportquote nach einer langen Anhörung gestärkt hat, obwohl die Kosten stiegen.", "Es ist nicht sicher, dass die Bahnverbindung ohne weitere Zuschüsse bestehen bleibt und die Lastprognose hält."],
+        "fr": ["Selon le conseil, la licence d’eau a limité le réseau de transport malgré une demande plus faible dans la région.", "Pendant ce temps, on se demande encore si le port de commerce peut soutenir la réforme tarifaire avec peu de moyens."],
+        "es": ["El estudio muestra que el centro de datos debilitó la planta solar después de dos consultas públicas en la zona.", "No está claro que la red de transporte siga siendo útil para el plan de inversión como esperaba la comisión."],
+    }
+    ask = {"en": "Latest {} figures {}", "de": "Zahlen über {} {}", "fr": "Données sur {} {}", "es": "Datos sobre {} {}"}
+    what = {"en": ["rail link", "court ruling", "demand forecast"], "de": ["die Bahnverbindung", "die Exportquote", "das Windportfolio"], "fr": ["la licence d’eau", "le réseau de transport", "le port de commerce"], "es": ["el centro de datos", "la planta solar", "la red de transporte"]}
+    r, pairs = random.Random(6), []
+    for i in range(600):
+        c = r.choice(list(said))
+        pairs.append((ask[c].format(r.choice(what[c]), 2000 + i % 30), " ".join(r.choice(said[c]) for _ in range(3))))
+    w, limit, read = train(pairs, [(t, c) for c in said for t in said[c] * 30])
+    swapped = [(q, pairs[next(j for j in range(i + 1, 600) if pairs[j][0][:5] != q[:5])][1]) for i, (q, _) in enumerate(pairs[:200])]
+    judge = lambda rows: [DEFECTS[int(s.argmax())] if s.max() > 0 else None for s in (x @ w[k] - limit for k, x in read.each(rows))]
+    whole, bad = judge(pairs[:200]), judge(swapped)
+    assert sum(d is not None for d in whole) <= 2 and sum(d == "language" for d in bad) >= 195
