@@ -71,7 +71,7 @@ def curve_key(words: np.ndarray) -> np.ndarray:
 
 def _measure(name: str, folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[int, int] = {}
+        memo: dict[str, int] = {}
         for b in batches:
             texts = b.column(1).to_pylist()
             for i, j in chunks(texts):

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from papyra.operators.common import table
 
 
+SQL = {"p7_decoded": "SELECT doc_id, md5(coalesce(text, '')) text_md5 FROM documents"}
+
+
 def limits(spark: SparkSession, d: str, tbl: str) -> tuple[int, int]:
     """(max_size, overlap) of a table in size_limits, a fixed table of a few rows."""
     row = table(spark, d, "size_limits").where(F.col("tbl") == tbl).agg(F.max("max_size").alias("m"), F.max("overlap").alias("o")).first()
@@ -93,6 +96,13 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"))
 
 
+def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """The round trip: encoded, decoded, and the MD5 of what comes back."""
+    from papyra.llm.tokens import decode_ids
+
+    return decode_ids(p7_ids(spark, d)).select("doc_id", F.md5("text").alias("text_md5"))
+
+
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     from papyra.llm.packing import pack_documents
 
@@ -118,8 +128,8 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_judged, p2_found, p2_pieces, p3_found, p3_bodies, p5_found, p5_texts, p6_found, p6_groups, p7_ids, p8_containers, p8_report, p9_found, p9_languages)}
+    return {f.__name__: f for f in (p1_found, p1_judged, p2_found, p2_pieces, p3_found, p3_bodies, p5_found, p5_texts, p6_found, p6_groups, p7_ids, p7_decoded, p8_containers, p8_report, p9_found, p9_languages)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

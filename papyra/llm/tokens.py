@@ -1,17 +1,16 @@
 """Problem 7: the whole corpus as ids of a public tokenizer.
 
-Global distinct-word shuffle, with positions kept block-wise so that the shuffles carry each
-distinct word of a block once instead of every occurrence:
+Global distinct-word shuffle:
 
-1. split all texts into pre-tokens; a block (at most ``block_docs`` texts of one partition) keeps,
-   per text, the positions as indexes into the block's own word list;
-2. one row per (block, word) -> one row per distinct word of the corpus -> its ids, computed once;
-3. ids are joined back to (block, word) and gathered per block (bounded by ``block_docs``);
-4. each block lays its word ids out along the positions.
+1. split all texts into pre-tokens; a block (a run of texts of one partition, bounded in characters,
+   texts and words) keeps the positions of its pre-tokens as numbers of its own word list;
+2. one row per (block, number, word), shuffled and sorted by word: all rows of a word meet in one
+   stream, where the word is encoded once and its ids go back to every row;
+3. the rows return to their block, which lays the ids out along the positions.
 
-A word that occurs in every block arrives as one row per block, so no key is hotter than the
-number of blocks. Words are keyed by a 64-bit hash of their code points (for 10^9 distinct words a
-collision anywhere has a chance of about 0.03).
+Words are keyed by themselves, and words of equal hash are compared sign by sign, so no two words
+share ids. A word that stands in every block is one row per block. Sizes of rows and tasks depend on
+the block's bounds only, not on the corpus; a single text beyond them is a block of its own.
 
 Null and empty texts give an empty list. One row comes out per row that goes in; a null id stays null.
 """
@@ -44,63 +43,73 @@ def chunks(texts: list[str | None], limit: int = CHARS) -> Iterator[tuple[int, i
         yield a, len(texts)
 
 
+def distinct_words(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct words, number of each pre-token's word, text of each pre-token, hash of each pre-token).
+
+    Pre-tokens are grouped by hash and compared with the first of their group; should any differ, all are told apart by themselves.
+    """
+    cp, _, ends = ts.flat(texts)
+    s, e, d = ts.pretokens(cp, ends)
+    h = ts.span_hash(ts.prefix(cp), s, e)
+    _, first, inv = np.unique(h, return_index=True, return_inverse=True)
+    inv = inv.ravel()
+    whole = "\0".join(t or "" for t in texts) + "\0"
+    n, rep = e - s, first[inv] if len(first) else inv
+    same = bool((n == n[rep]).all())
+    if same and len(n):
+        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        same = bool((cp[at + np.repeat(s, n)] == cp[at + np.repeat(s[rep], n)]).all())
+    if same:
+        return [whole[i:j] for i, j in zip(s[first].tolist(), e[first].tolist())], inv, d, h
+    exact: dict[str, int] = {}
+    inv = np.fromiter((exact.setdefault(whole[i:j], len(exact)) for i, j in zip(s.tolist(), e.tolist())), np.int64, len(s))
+    return list(exact), inv, d, h
+
+
+def by_text(values: np.ndarray, d: np.ndarray, n: int) -> list[np.ndarray]:
+    return np.split(values, np.searchsorted(d, np.arange(1, n)))
+
+
 class WordList:
-    """Grows a list of distinct words with the index of each; looked up by hash, vectorised."""
+    """A growing list of distinct words, each with its number."""
 
     def __init__(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.rank = np.zeros(0, np.int64)
-        self.hashes: list[np.ndarray] = []
-        self.words: list[str] = []
+        self.number: dict[str, int] = {}
 
     def index(self, texts: list[str | None]) -> list[np.ndarray]:
-        """For each text, the index of each of its words; unseen words are added."""
-        cp, _, ends = ts.flat(texts)
-        s, e, d = ts.pretokens(cp, ends)
-        h, first, inv = np.unique(ts.span_hash(ts.prefix(cp), s, e), return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, h)
-        at_ = np.minimum(at, max(0, len(self.keys) - 1))
-        known = (self.keys[at_] == h) if len(self.keys) else np.zeros(len(h), bool)
-        where = np.empty(len(h), np.int64)
-        where[known] = self.rank[at_[known]] if len(self.keys) else 0
-        new = np.flatnonzero(~known)
-        where[new] = np.arange(len(self.words), len(self.words) + len(new))
-        if len(new):
-            whole = "\0".join(t or "" for t in texts) + "\0"
-            a, b = s[first[new]].tolist(), e[first[new]].tolist()
-            self.words += [whole[i:j] for i, j in zip(a, b)]
-            self.hashes.append(h[new])
-            self.keys = np.insert(self.keys, at[new], h[new])
-            self.rank = np.insert(self.rank, at[new], where[new])
-        return np.split(where[inv.ravel()].astype(np.int32), np.searchsorted(d, np.arange(1, len(texts))))
-
-
-BLOCK = "block long, doc_ids array<long>, sizes array<int>, idx binary, keys array<long>, words array<string>"
-
-
-def _blocks(block_docs: int):
-    schema = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("idx", pa.binary()), ("keys", pa.list_(pa.int64())), ("words", pa.list_(pa.string()))])
+        """For each text, the numbers of its words; unseen words are added."""
+        words, inv, d, _ = distinct_words(texts)
+        number = self.number
+        where = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words))
+        return by_text(where[inv], d, len(texts))
+
+
+BLOCK = "block long, doc_ids array<long>, sizes array<int>, idx binary, words array<string>"
+
+
+def _blocks(block_docs: int, block_chars: int, block_words: int):
+    schema = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("idx", pa.binary()), ("words", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         base, no = TaskContext.get().partitionId() << 32, 0
-        words, ids, parts = WordList(), [], []
+        words, ids, parts, chars = WordList(), [], [], 0
 
         def done() -> pa.RecordBatch:
-            sizes = [len(p) for p in parts]
-            idx = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-            keys = np.concatenate(words.hashes).view(np.int64) if words.hashes else np.zeros(0, np.int64)
-            return pa.record_batch([[base + no], [ids], [sizes], [idx.astype("<i4").tobytes()], pa.array([keys], pa.list_(pa.int64())), [words.words]], schema=schema)
+            idx = np.concatenate(parts)
+            idx = idx.astype("<u2" if len(words.number) <= 1 << 16 else "<i4")  # the reader tells by the length
+            return pa.record_batch([[base + no], [ids], [[len(p) for p in parts]], [idx.tobytes()], [list(words.number)]], schema=schema)
 
         for b in batches:
             doc_ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for i, j in chunks(texts):
+            for i, j in chunks(texts, min(CHARS, block_chars)):
                 ids += doc_ids[i:j]
                 parts += words.index(texts[i:j])
-                if len(ids) >= block_docs or sum(map(len, parts[-(j - i) :])) > 20 * CHARS:
+                chars += sum(len(t or "") for t in texts[i:j])
+                if len(ids) >= block_docs or chars >= block_chars or len(words.number) >= block_words:
                     yield done()
-                    words, ids, parts, no = WordList(), [], [], no + 1
+                    words, ids, parts, chars, no = WordList(), [], [], 0, no + 1
         if ids:
             yield done()
 
@@ -110,9 +119,12 @@ def _blocks(block_docs: int):
 def _encode(name: str, folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = ts.encoder(name, folder)._core_bpe.encode_single_piece
+        last: dict[str, bytes] = {}  # of the word at the end of the batch before
         for b in batches:
-            out = [np.array(piece(w.encode()), "<u2").tobytes() for w in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), pa.array(out, pa.binary())], names=["key", "ids"])
+            d = b.column(2).dictionary_encode()
+            got = {w: last.get(w) or np.array(piece(w.encode()), "<u2").tobytes() for w in d.dictionary.to_pylist()}
+            last = dict([next(reversed(got.items()))]) if got else {}
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(list(got.values()), pa.binary()).take(d.indices)], names=["block", "pos", "ids"])
 
     return run
 
@@ -121,7 +133,8 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for r in range(b.num_rows):
             doc_ids, sizes = b.column(0)[r].values.to_numpy(zero_copy_only=False), b.column(1)[r].values.to_numpy()
-            idx = np.frombuffer(b.column(2)[r].as_py(), "<i4")
+            raw, total = b.column(2)[r].as_py(), int(sizes.sum())
+            idx = np.frombuffer(raw, "<u2" if len(raw) == 2 * total else "<i4")
             got = b.column(3)[r].values
             pos = got.field(0).to_numpy() if len(got) else np.zeros(0, np.int64)
             ids = got.field(1)
@@ -145,49 +158,68 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.record_batch([null, lists], names=["doc_id", "ids"])
 
 
-def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k", folder: str = ts.TOKENIZER_DIR, block_docs: int = 8000) -> DataFrame:
+def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k", folder: str = ts.TOKENIZER_DIR, block_docs: int = 20_000, block_chars: int = 4_000_000, block_words: int = 50_000) -> DataFrame:
     """(key, ids): the ids of each text by a byte-level vocabulary of at most 65,536 entries."""
+    if max(ts.ranks(name, folder).values()) >= 1 << 16:
+        raise ValueError(f"{name} has ids beyond two bytes")
     src = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    blocks = stored(spread(src, "doc_id").mapInArrow(_blocks(block_docs), BLOCK), "blocks")
-    pairs = blocks.select(F.explode(F.arrays_zip("keys", "words")).alias("w")).select(F.col("w.keys").alias("key"), F.col("w.words").alias("word"))
-    table = pairs.dropDuplicates(["key"]).mapInArrow(_encode(name, folder), "key long, ids binary")
-    back = blocks.select("block", F.posexplode("keys").alias("pos", "key")).join(table, "key")
-    lists = back.groupBy("block").agg(F.collect_list(F.struct("pos", "ids")).alias("got"))
+    blocks = stored(spread(src, "doc_id").mapInArrow(_blocks(block_docs, block_chars, block_words), BLOCK), "blocks")
+    words = blocks.select("block", F.posexplode("words").alias("pos", "word"))
+    met = words.repartition("word").sortWithinPartitions("word")
+    lists = met.mapInArrow(_encode(name, folder), "block long, pos int, ids binary").groupBy("block").agg(F.collect_list(F.struct("pos", "ids")).alias("got"))
     whole = blocks.select("block", "doc_ids", "sizes", "idx").join(lists, "block", "left")
     whole = whole.select("doc_ids", "sizes", "idx", F.coalesce("got", F.expr("CAST(array() AS array<struct<pos:int,ids:binary>>)")).alias("got"))
     return whole.mapInArrow(_assemble, "doc_id long, ids array<int>").withColumnRenamed("doc_id", key)
 
 
+def _decode(name: str, folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entries = ts.ranks(name, folder)
+        size = max(entries.values()) + 2  # the last entry stands for ids outside the vocabulary
+        table = [b""] * size
+        for word, i in entries.items():
+            table[i] = word
+        known = np.zeros(size, bool)
+        known[list(entries.values())] = True
+        count = np.fromiter(map(len, table), np.int64, size)
+        start, pool = np.cumsum(count) - count, np.frombuffer(b"".join(table), np.uint8)
+        for b in batches:
+            for i in range(0, b.num_rows, 500):
+                lists = b.column(1).slice(i, 500)
+                ids = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+                ids[(ids < 0) | (ids >= size)] = size - 1
+                k = count[ids]
+                ends = np.cumsum(k)
+                data = pool[np.repeat(start[ids] - (ends - k), k) + np.arange(int(k.sum()))].tobytes()
+                n = np.array([len(x) if x is not None else 0 for x in lists.to_pylist()] if lists.null_count else np.diff(lists.offsets.to_numpy()), np.int64)
+                cuts = np.concatenate([[0], np.cumsum(n)])
+                at, bad = np.concatenate([[0], ends])[cuts].tolist(), np.concatenate([[0], np.cumsum(~known[ids])])[cuts]
+                whole = (np.diff(bad) == 0) & lists.is_valid().to_numpy(zero_copy_only=False)
+                out = [data[x:y].decode("utf-8", "replace") if ok else None for x, y, ok in zip(at, at[1:], whole.tolist())]
+                yield pa.record_batch([b.column(0).slice(i, 500), pa.array(out, pa.string())], names=["_k", "text"])
+
+    return run
+
+
 def decode_ids(df: DataFrame, key: str = "doc_id", ids: str = "ids", name: str = "byte_bpe_50k", folder: str = ts.TOKENIZER_DIR) -> DataFrame:
-    """(key, text): join of each id with the token-byte table (fixed, one row per vocabulary entry); bytes in order, then UTF-8.
+    """(key, text): each id joined with the token-byte table (fixed, one entry per id, held by each task), bytes in order, then UTF-8.
 
-    An id outside the vocabulary makes the text null. Null lists give a null text, empty lists an empty one.
+    An id outside the vocabulary makes the text null. Null lists give a null text, empty lists an empty one. No shuffle.
     """
-    spark = df.sparkSession
-    table = spark.createDataFrame([(i, bytearray(b)) for b, i in ts.ranks(name, folder).items()], "id int, bytes binary")
-    one = df.select(F.col(key).alias("_k"), F.col(ids).alias("_ids"), F.monotonically_increasing_id().alias("_row"))
-    pos = one.select("_row", F.posexplode("_ids").alias("pos", "id")).join(table, "id", "left")
-    text = pos.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("pos", F.hex("bytes").alias("b")))).alias("l"))
-    text = text.select("_row", F.unhex(F.array_join(F.transform("l", lambda x: F.coalesce(x["b"], F.lit("!"))), "")).cast("string").alias("text"))
-    out = one.join(text, "_row", "left")
-    return out.select(F.col("_k").alias(key), F.when(F.size("_ids") == 0, "").otherwise(F.col("text")).alias("text"))
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(F.col(key).alias("_k"), F.col(ids).cast("array<int>").alias("_ids")).mapInArrow(_decode(name, folder), f"_k {kind}, text string").withColumnRenamed("_k", key)
 
 
-def token_counts(texts: list[str | None], memo: dict[int, int], name: str, folder: str, memo_max: int = 400_000) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def token_counts(texts: list[str | None], memo: dict[str, int], name: str, folder: str, memo_max: int = 400_000) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Per text, the hash and the number of ids of each of its words. ``memo`` keeps counts between calls, bounded."""
-    cp, _, ends = ts.flat(texts)
-    s, e, d = ts.pretokens(cp, ends)
-    h, first, inv = np.unique(ts.span_hash(ts.prefix(cp), s, e), return_index=True, return_inverse=True)
-    whole = "\0".join(t or "" for t in texts) + "\0"
-    piece, n = ts.encoder(name, folder)._core_bpe.encode_single_piece, np.empty(len(h), np.int64)
+    words, inv, d, h = distinct_words(texts)
+    piece = ts.encoder(name, folder)._core_bpe.encode_single_piece
     if len(memo) > memo_max:
         memo.clear()
-    a, b, hs = s[first].tolist(), e[first].tolist(), h.tolist()
-    for i, key in enumerate(hs):
-        k = memo.get(key)
+    n = np.empty(len(words), np.int64)
+    for i, w in enumerate(words):
+        k = memo.get(w)
         if k is None:
-            k = memo[key] = len(piece(whole[a[i] : b[i]].encode()))
+            k = memo[w] = len(piece(w.encode()))
         n[i] = k
-    cuts = np.searchsorted(d, np.arange(1, len(texts)))
-    inv = inv.ravel()
-    return np.split(h[inv], cuts), np.split(n[inv], cuts)
+    return by_text(h, d, len(texts)), by_text(n[inv], d, len(texts))

@@ -46,6 +46,36 @@ def test_encoding_equals_the_tokenizer_and_decodes(spark):
     assert tokens.encode_corpus(d.where("false")).count() == 0
 
 
+def test_words_of_equal_hash_keep_their_own_ids(spark):
+    a, b = "a", "b"
+    for _ in range(10):  # Thue-Morse words: every polynomial modulo a power of two hashes them alike
+        a, b = a + b, b + a
+    cp, starts, ends = textscan.flat([a, b])
+    p = textscan.prefix(cp)
+    assert len(set(textscan.span_hash(p, starts, ends).tolist())) == 1
+    texts = [a, b, "x " + b + " y", a]
+    got = tokens.encode_corpus(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), block_chars=3000)
+    assert {r.doc_id: list(r.ids) for r in got.collect()} == {i: textscan.encoder().encode_ordinary(t) for i, t in enumerate(texts)}
+    assert [c.tolist() for c in tokens.token_counts([a, b], {}, "byte_bpe_50k", textscan.TOKENIZER_DIR)[1]] == [[len(textscan.encoder().encode_ordinary(t))] for t in (a, b)]
+
+
+def test_blocks_are_bounded():
+    r = random.Random(2)
+    rows = [(i, " ".join(f"{r.choice(WORDS)}{r.randrange(40)}" for _ in range(60))) for i in range(900)]
+    from unittest import mock
+
+    with mock.patch("pyspark.TaskContext.get", return_value=mock.Mock(partitionId=lambda: 3)):
+        batch = pa.record_batch([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], names=["doc_id", "text"])
+        blocks = [b for b in tokens._blocks(10_000, 20_000, 10_000)(iter([batch]))]
+    sizes = [sum(len(rows[i][1]) for i in b.column(1)[0].as_py()) for b in blocks]
+    assert max(sizes) < 2 * 20_000 and sum(len(b.column(1)[0]) for b in blocks) == 900 and len({b.column(0)[0].as_py() for b in blocks}) == len(blocks)
+
+
+def test_decoding_of_null_empty_and_unknown(spark):
+    d = spark.createDataFrame([(1, None), (2, []), (3, [10**6]), (4, textscan.encoder().encode_ordinary("né 中")), (None, [None, 5])], "doc_id long, ids array<int>")
+    assert {r.doc_id: r.text for r in tokens.decode_ids(d).collect()} == {1: None, 2: "", 3: None, 4: "né 中", None: None}
+
+
 def test_packing_holds_everything_once(spark):
     d = spark.createDataFrame([(i, prose(i, i % 40)) for i in range(120)] + [(500, None), (501, "word " * 700), (0, prose(0, 3))], "doc_id long, text string")
     rows = packing.pack_documents(d, 256, docs_per_partition=40).collect()
