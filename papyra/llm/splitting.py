@@ -1,9 +1,10 @@
 """Problem 2: texts above a size limit into pieces at natural boundaries, with overlap.
 
-Structure-tree packing. A text is a tree: heading sections by level, blocks between blank lines,
-lines (list items, table rows), sentences, words. Nodes that fit beside what the current piece
-holds are merged into it; a node that fits alone opens the next piece; only a node larger than the
-limit is descended into. A heading stays with what it heads. Only a run without white space and
+Structure-tree packing. A text is a tree: sections by heading level, blocks (paragraphs, lists, tables,
+fenced code), list items with their nested lists, lines, sentences, words. Only a node above the limit is
+descended into; its children, those above the limit packed by themselves first, are merged with their
+neighbours up to the limit. So a piece holds whole siblings, or parts of one oversized node, and never
+parts of two parents. A heading is one node with the block after it. Only a run without white space and
 sentence end that exceeds the limit is cut inside (``forced``).
 
 Every piece but the first begins with the last ``overlap`` characters of the piece before; the new
@@ -14,6 +15,7 @@ give no piece. Of several deliveries of a key the latest counts; null keys are l
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,76 +24,131 @@ from pyspark.sql import functions as F
 
 from papyra.operators.common import latest
 
+SECTION, BODY, LIST, ITEM, ROWS, PARAGRAPH, SENTENCE, WORD, SOLID = range(9)
+DEEPEST = 40  # nested lists further down are cut by lines
 _HEADING = re.compile(r"^ {0,3}(#{1,6})\s+\S.*$", re.M)
 _FENCE = re.compile(r"^ {0,3}(?:```|~~~)", re.M)
-_BLOCK = re.compile(r"\n[^\S\n]*\n\s*")
-_LINE = re.compile(r"\n")
+_GAP = re.compile(r"\n[^\S\n]*\n\s*")
+_MARK = re.compile(r"^([ \t]*)(?:[-*+•]|\d{1,3}[.)])[ \t]+\S", re.M)
+_LINE = re.compile(r"\n+")
 _SENTENCE = re.compile(r"[.!?;][\"'”’»)\]]*\s+|[。！？；][”’」』）]*\s*")
 _WORD = re.compile(r"\s+")
 _STOP = re.compile(r"[.!?;。！？；]+")
 _SOLID = re.compile(r"[^\s.!?;。！？；]+")
 
 
-def _headings(text: str) -> list[tuple[int, int]]:
-    """(position, level) of the headings outside code fences."""
-    fences = [m.start() for m in _FENCE.finditer(text)]
-    inside = lambda p: sum(f < p for f in fences) % 2 == 1
-    return [(m.start(), len(m.group(1))) for m in _HEADING.finditer(text) if not (fences and inside(m.start()))]
-
-
 class _Cutter:
     def __init__(self, text: str, limit: int, overlap: int) -> None:
-        self.text, self.first, self.later = text, limit, max(1, limit - overlap)
-        self.limit, self.start, self.cuts, self.forced = limit, 0, [], False
-        self.heads = _headings(text)
-        self.levels = sorted({k for _, k in self.heads})
-
-    def room(self) -> int:
-        return self.start + (self.later if self.cuts else self.first)
-
-    def cut(self, at: int) -> None:
-        if at > self.start:
-            self.cuts.append(at)
-            self.start = at
-
-    def children(self, a: int, z: int, level: int) -> list[int]:
-        """Where the children of the node [a, z) start, at a level of the tree."""
-        t, n = self.text, len(self.levels)
-        if level < n:
-            return [p for p, k in self.heads if a < p < z and k == self.levels[level]]
-        pattern = (_BLOCK, _LINE, _SENTENCE, _WORD, _STOP)[level - n]
-        at = [m.end() for m in pattern.finditer(t, a, z) if a < m.end() < z]
-        if level == n:  # a heading is no child of its own
-            bare = {m.end() for m in (_HEADING.match(t, p) for p, _ in self.heads if a <= p < z) if m}
-            at = [p for p in at if not any(e <= p and not t[e:p].strip() for e in bare)] or at
-        return at
-
-    def place(self, a: int, z: int, level: int = 0) -> None:
-        stack = [(a, z, level)]
-        last = len(self.levels) + 5
-        while stack:
-            a, z, level = stack.pop()
-            if z <= self.room():
+        self.text, self.limit, self.later = text, limit, max(1, limit - overlap)
+        self.starts: list[int] = []
+        self.forced = False
+        self.fences = [m.start() for m in _FENCE.finditer(text)]
+        heads = [(m.start(), len(m.group(1)), m.end()) for m in _HEADING.finditer(text) if not self.fenced(m.start())]
+        self.heads, self.levels, self.head_ends = ([h[i] for h in heads] for i in range(3))
+        self.marks = [(m.start(), len(m.group(1).expandtabs(4))) for m in _MARK.finditer(text) if not self.fenced(m.start())]
+        self.mark_at = [p for p, _ in self.marks]
+
+    def fenced(self, p: int) -> bool:
+        return bisect_left(self.fences, p) % 2 == 1
+
+    def room(self, start: int) -> int:
+        return self.later if start else self.limit
+
+    def parted(self, a: int, z: int, pattern: re.Pattern) -> list[int]:
+        return [m.end() for m in pattern.finditer(self.text, a, z) if a < m.end() < z]
+
+    def marks_in(self, a: int, z: int) -> list[tuple[int, int]]:
+        return self.marks[bisect_left(self.mark_at, a) : bisect_left(self.mark_at, z)]
+
+    def kind(self, a: int, z: int) -> int:
+        """Of a block."""
+        t = self.text
+        first = t[a : a + 4].lstrip(" ")[:3]
+        if first in ("```", "~~~") or first[:1] == "|":
+            return ROWS
+        return LIST if self.mark_at and a in self.mark_at[(i := bisect_left(self.mark_at, a)) : i + 1] else PARAGRAPH
+
+    def section(self, a: int, z: int) -> list[tuple[int, int]]:
+        i, j = bisect_right(self.heads, a), bisect_left(self.heads, z)
+        if i == j:
+            return [(a, BODY)]
+        top = min(self.levels[i:j])
+        cuts = [a, *(p for p, k in zip(self.heads[i:j], self.levels[i:j]) if k == top)]
+        return [(p, SECTION) for p in cuts]
+
+    def body(self, a: int, z: int) -> list[tuple[int, int]]:
+        """Blocks; a heading goes with the block after it, list blocks that follow each other are one list."""
+        own = bisect_left(self.heads, a)
+        after = self.head_ends[own] if own < len(self.heads) and self.heads[own] == a else a
+        out: list[tuple[int, int]] = []
+        for p in [a, *(p for p in self.parted(a, z, _GAP) if not self.fenced(p))]:
+            if out and (p > after and not self.text[after:p].strip()):  # only the heading so far
+                out[-1] = (out[-1][0], self.kind(p, z))
                 continue
-            if z - a <= self.later and a > self.start:
-                self.cut(a)
+            k = self.kind(p, z)
+            if out and k == LIST and out[-1][1] == LIST:
                 continue
-            if level >= last:
-                solid = _SOLID.search(self.text, a, z)
-                self.forced |= solid is not None and solid.end() - solid.start() > self.limit
-                while z > self.room():
-                    self.cut(self.room())
+            out.append((p, k))
+        return out
+
+    def items(self, a: int, z: int, depth: int) -> list[tuple[int, int]]:
+        marks = self.marks_in(a, z)
+        if not marks or depth > DEEPEST:
+            return [(a, ROWS)]
+        least = min(k for _, k in marks)
+        cuts = [p for p, k in marks if k == least]
+        return ([(a, PARAGRAPH)] if cuts[0] > a else []) + [(p, ITEM) for p in cuts]
+
+    def children(self, a: int, z: int, kind: int, depth: int) -> list[tuple[int, int]]:
+        """(start, kind) of the children of the node [a, z)."""
+        if kind == SECTION:
+            return self.section(a, z)
+        if kind == BODY:
+            return self.body(a, z)
+        if kind == LIST:
+            return self.items(a, z, depth)
+        if kind == ITEM:  # its own lines, then the list nested in it
+            inner = self.marks_in(a + 1, z)
+            return [(a, ROWS), (inner[0][0], LIST)] if inner else [(a, ROWS)]
+        if kind in (ROWS, PARAGRAPH):
+            return [(p, SENTENCE) for p in [a, *self.parted(a, z, _LINE)]]
+        pattern, below = {SENTENCE: (_SENTENCE, WORD), WORD: (_WORD, SOLID), SOLID: (_STOP, -1)}[kind]
+        return [(p, below) for p in [a, *self.parted(a, z, pattern)]]
+
+    def pack(self, a: int, z: int, kind: int, depth: int = 0) -> None:
+        """Starts of the pieces of an oversized node."""
+        if kind < 0:
+            solid = _SOLID.search(self.text, a, z)
+            self.forced |= solid is not None and solid.end() - solid.start() > self.limit
+            while z - a > self.room(a):
+                self.starts.append(a)
+                a += self.room(a)
+            self.starts.append(a)
+            return
+        kids = self.children(a, z, kind, depth)
+        ends = [p for p, _ in kids[1:]] + [z]
+        group = None
+        for (p, k), q in zip(kids, ends):
+            if group is not None and q - group <= self.room(group):
                 continue
-            inner = self.children(a, z, level)
-            edges = [a, *inner, z]
-            stack += [(p, q, level + 1) for p, q in zip(edges[-2::-1], edges[:0:-1])]
+            if group is not None:
+                self.starts.append(group)
+                group = None
+            if q - p <= self.room(p):
+                group = p
+            else:
+                self.pack(p, q, k, depth + 1)
+        if group is not None:
+            self.starts.append(group)
 
 
 def split_text(text: str, limit: int, overlap: int) -> tuple[list[tuple[int, int]], bool]:
     """Spans of the pieces, overlap included, and whether an unbreakable run had to be cut. Needs 0 <= overlap < limit."""
+    if len(text) <= limit:
+        return [(0, len(text))], False
     c = _Cutter(text, limit, overlap)
-    c.place(0, len(text))
-    edges = [0, *c.cuts, len(text)]
+    c.pack(0, len(text), SECTION)
+    edges = [*c.starts, len(text)]
     return [(max(0, a - overlap) if i else 0, z) for i, (a, z) in enumerate(zip(edges, edges[1:]))], c.forced
 
 
@@ -102,21 +159,20 @@ def _split(limit: int, overlap: int, with_text: bool):
         for b in batches:
             pieces, forced = [], []
             for t in b.column(2).to_pylist():
-                spans, f = split_text(t, limit, overlap)
-                pieces.append([{"start": a, "stop": z, "text": t[a:z] if with_text else None} for a, z in spans])
-                forced.append(int(f))
+                spans, f = split_text(t, limit, overlap) if t is not None else (None, None)
+                pieces.append(spans and [{"start": a, "stop": z, "text": t[a:z] if with_text else None} for a, z in spans])
+                forced.append(None if f is None else int(f))
             yield pa.record_batch([b.column(0), b.column(1), pa.array(pieces, kind), pa.array(forced, pa.int32())], names=["rec_id", "arrived", "pieces", "forced"])
 
     return run
 
 
 def split_oversized(df: DataFrame, key: str, text: str, arrived: str, limit: int, overlap: int, with_text: bool = True) -> DataFrame:
-    """(rec_id, pieces array<(start, stop, text)>, forced): one row per key whose latest text is above the limit."""
-    src = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("rec_id"), F.col(arrived).cast("timestamp").alias("arrived"), F.col(text).alias("text"))
-    shape = "pieces array<struct<start:int,stop:int,text:string>>"
-    big = src.where(F.length("text") > limit).mapInArrow(_split(limit, overlap, with_text), f"rec_id long, arrived timestamp, {shape}, forced int")
-    rest = src.where("text IS NULL OR length(text) <= %d" % limit).select("rec_id", "arrived", F.expr(f"CAST(NULL AS {shape.split(' ', 1)[1]})").alias("pieces"), F.lit(None).cast("int").alias("forced"))
-    return latest(big.unionByName(rest), ["rec_id"], "arrived").where("pieces IS NOT NULL").drop("arrived")
+    """(rec_id, pieces array<(start, stop, text)>, forced): one row per key whose latest text is above the limit. Shorter texts never leave the JVM."""
+    long = F.when(F.length(text) > limit, F.col(text))
+    src = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("rec_id"), F.col(arrived).cast("timestamp").alias("arrived"), long.alias("text"))
+    cut = src.mapInArrow(_split(limit, overlap, with_text), "rec_id long, arrived timestamp, pieces array<struct<start:int,stop:int,text:string>>, forced int")
+    return latest(cut, ["rec_id"], "arrived").where("pieces IS NOT NULL").drop("arrived")
 
 
 def pieces_of(split: DataFrame) -> DataFrame:

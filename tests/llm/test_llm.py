@@ -107,6 +107,30 @@ def test_pieces_cover_the_text(text):
     assert forced == (len(splitting._SOLID.findall(text)) > 0 and max(map(len, splitting._SOLID.findall(text))) > limit)
 
 
+def test_pieces_follow_the_tree():
+    para = lambda k, n=3: f"{k} " + prose(k, n)
+    text = "# A\n\n" + para(1) + "\n\n" + para(2) + "\n\n## A1\n\n" + para(3, 8) + "\n\n## A2\n\n" + para(4) + "\n\n# B\n\n" + para(5) + "\n\n- one\n  - " + para(6) + "\n  - " + para(7) + "\n- two " + para(8) + "\n"
+    limit = 450
+    cuts = [a for a, _ in splitting.split_text(text, limit, 0)[0]]
+    at = lambda x: text.index(x)
+    assert cuts[0] == 0 and at("## A1") in cuts and at("## A2") in cuts and at("# B") in cuts  # pieces of A, A1, A2 and B never mix
+    assert all(text[p - 1].isspace() for p in cuts[1:])
+    assert at("- two") in cuts or any(p <= at("# B") and q > at("- two") for p, q in zip(cuts, cuts[1:] + [len(text)]))
+    deep = "\n".join("  " * i + f"- level {i} " + "w " * 20 for i in range(120))
+    spans, _ = splitting.split_text(deep, 150, 20)
+    assert spans[-1][1] == len(deep) and max(b - a for a, b in spans) <= 150
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.sampled_from(["# H\n\n", "## H\n", "para one. and two; three.\n\n", "- item\n", "  - sub item\n", "| a | b |\n", "```\ncode line\n```\n", "```\n", "句子。", "x" * 45, " \n\n", "word " * 9]), max_size=40), st.integers(12, 60), st.integers(0, 10))
+def test_pieces_of_any_text_are_exact(parts, limit, overlap):
+    text = "".join(parts)
+    spans, forced = splitting.split_text(text, limit, overlap)
+    assert all(b - a <= limit for a, b in spans) and spans[0][0] == 0 and spans[-1][1] == len(text)
+    assert all(q[0] == p[1] - overlap or q[0] == max(0, p[1] - overlap) for p, q in zip(spans, spans[1:]))
+    assert forced == any(len(x) > limit for x in splitting._SOLID.findall(text))
+
+
 def test_split_table(spark):
     d = spark.createDataFrame([(1, "a b " * 100, AT), (1, "a b " * 100, AT + dt.timedelta(1)), (2, "short", AT), (3, None, AT), (4, "", AT), (5, "z" * 300, AT)], "k long, t string, at timestamp")
     got = {r.rec_id: r.forced for r in splitting.split_oversized(d, "k", "t", "at", 100, 10).collect()}
