@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from papyra.llm import textscan as ts
@@ -99,9 +99,9 @@ def _children(rows: DataFrame, threshold: float) -> DataFrame:
     return turns.select(F.xxhash64("node", at, F.get("tokens", at)).alias("node"), "id", "s0", "s1")
 
 
-def _alike(rows: DataFrame, on: list[str], most: int) -> DataFrame:
+def _alike(rows: DataFrame, on: list[str], most: int, also: Column | None = None) -> DataFrame:
     a, b = rows.alias("a"), rows.alias("b")
-    match = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in on]
+    match = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in on] + ([] if also is None else [also])
     cond = match[0]
     for m in match[1:]:
         cond = cond & m
@@ -127,8 +127,9 @@ def candidates(sets: DataFrame, threshold: float, trees: int, node: int, depth:
     if rest is not None:  # blocks of about ``node`` members, every two of them in one group
         blocks = rest.withColumn("m", F.ceil(F.col("n") / F.lit(node)).cast("int")).withColumn("c", F.pmod(F.xxhash64("id", "node"), F.col("m")).cast("int"))
         cross = blocks.select("node", "id", "s0", "s1", "c", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("o"))
-        cross = cross.select("node", "id", "s0", "s1", F.least("c", "o").alias("x"), F.greatest("c", "o").alias("y"))
-        pairs = pairs.unionByName(_alike(cross, ["node", "x", "y"], most))
+        cross = cross.select("node", "id", "s0", "s1", "c", F.least("c", "o").alias("x"), F.greatest("c", "o").alias("y"))
+        once = (F.col("a.c") != F.col("b.c")) | (F.col("a.x") == F.col("a.y"))  # two of one block meet in that block's own group only
+        pairs = pairs.unionByName(_alike(cross, ["node", "x", "y"], most, once))
     return pairs.distinct()
 
 
@@ -166,7 +167,12 @@ def similar_classes(docs: DataFrame, key: str = "file_id", text: str = "body", a
     signed = stored(spread(src, "id").mapInArrow(_sign(min_chars), _SIG), "signed")
     newest = latest(signed.select("id", "arrived", "md5"), ["id"], "arrived").where("md5 IS NOT NULL")
     heads = newest.groupBy("md5").agg(F.min("id").alias("cls"), F.count(F.lit(1)).alias("copies"))
-    members = stored(newest.join(heads, "md5").select("id", "cls", "copies"), "members")
+    heads = stored(heads, "heads")
+    # classes that hold over 1/10,000 of the rows: at most 10,000 of them, so this table may be sent to all tasks; the join by md5 then has no hot key
+    large = F.broadcast(heads.where(F.col("copies") > max(1000, signed.count() // 10_000)))
+    some = newest.join(large, "md5").select("id", "cls", "copies")
+    rest = newest.join(large.select("md5"), "md5", "left_anti").join(heads, "md5").select("id", "cls", "copies")
+    members = stored(some.unionByName(rest), "members")
     sets = signed.where("md5 IS NOT NULL").join(heads.select("md5", F.col("cls").alias("id")), ["md5", "id"]).groupBy("id").agg(*[F.max(c).alias(c) for c in ("tokens", "s0", "s1")])
     sets = stored(sets, "sets")
     chance = 0.75 * (1 - threshold)  # that a coordinate's two bits differ, at the threshold
@@ -179,31 +185,34 @@ def similar_classes(docs: DataFrame, key: str = "file_id", text: str = "body", a
     return members, links
 
 
-def similar_pairs(members: DataFrame, links: DataFrame, expand: int = 100) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: all pairs of records, also those within a class.
+def similar_pairs(members: DataFrame, links: DataFrame, multiply: int = 100) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: all pairs of records, also those within a class of exact copies.
 
-    A class of more than ``expand`` copies is not multiplied out: its copies are linked with its
-    first record (membership) and other classes with that record only, so no link between
-    different texts is lost and the rows stay linear in the number of records.
+    The copies of a class of more than ``multiply`` members are not multiplied out (a third of all rows
+    may be copies of one text): each of them is paired with the first record of its class, and other
+    classes with that record only. Together with the membership in ``members`` that is every pair;
+    ``links`` holds the pairs between different texts, whatever the size of their classes.
     """
-    shown = members.where((F.col("copies") <= expand) | (F.col("id") == F.col("cls"))).select("id", "cls")
+    few = F.col("copies") <= multiply
+    shown = members.where(few | (F.col("id") == F.col("cls"))).select("id", "cls")
     cross = links.join(shown.select(F.col("cls").alias("a"), F.col("id").alias("x")), "a").join(shown.select(F.col("cls").alias("b"), F.col("id").alias("y")), "b")
-    some = members.where((F.col("copies") > 1) & (F.col("copies") <= expand))
+    some = members.where((F.col("copies") > 1) & few)
     inner = some.select("cls", F.col("id").alias("x")).join(some.select("cls", F.col("id").alias("y")), "cls").where("x < y")
-    star = members.where((F.col("copies") > expand) & (F.col("id") > F.col("cls"))).select(F.col("cls").alias("x"), F.col("id").alias("y"))
+    star = members.where(~few & (F.col("id") > F.col("cls"))).select(F.col("cls").alias("x"), F.col("id").alias("y"))
     both = cross.select("x", "y").unionByName(inner.select("x", "y")).unionByName(star)
     return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
-def groups(members: DataFrame, links: DataFrame, rounds: int = 50) -> DataFrame:
+def groups(members: DataFrame, links: DataFrame) -> DataFrame:
     """(id, cls, links, group_id): connected groups of classes; ``group_id`` is the least class of the group, ``links`` counts its class's partners.
 
     Labels spread to neighbours and jump to the label's own label, so rounds grow with the
-    logarithm of the longest chain; each round is written to the shared folder.
+    logarithm of the longest chain; each round is written to the shared folder, and rounds go on
+    until no label changes.
     """
     ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = stored(ends.select(F.col("a").alias("cls")).distinct().withColumn("label", F.col("cls")), "labels")
-    for _ in range(rounds):
+    while True:
         near = ends.join(labels.select(F.col("cls").alias("b"), "label"), "b").groupBy(F.col("a").alias("cls")).agg(F.min("label").alias("near"))
         step = labels.join(near, "cls").select("cls", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
         jump = step.join(labels.select(F.col("cls").alias("mid"), F.col("label").alias("far")), "mid", "left")

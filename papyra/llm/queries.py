@@ -90,6 +90,13 @@ def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     return groups(*similar_classes(table(spark, d, "corpus_docs"))).withColumnRenamed("id", "file_id")
 
 
+def p6_links(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs between the first records of exact classes; ``p6_groups`` has the membership."""
+    from papyra.llm.neardup import similar_classes
+
+    return similar_classes(table(spark, d, "corpus_docs"))[1].select(F.col("a").alias("cls_a"), F.col("b").alias("cls_b"), "similarity")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     from papyra.llm.tokens import encode_corpus
 
@@ -128,7 +135,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_judged, p2_found, p2_pieces, p3_found, p3_bodies, p5_found, p5_texts, p6_found, p6_groups, p7_ids, p7_decoded, p8_containers, p8_report, p9_found, p9_languages)}
+    return {f.__name__: f for f in (p1_found, p1_judged, p2_found, p2_pieces, p3_found, p3_bodies, p5_found, p5_texts, p6_found, p6_groups, p6_links, p7_ids, p7_decoded, p8_containers, p8_report, p9_found, p9_languages)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -153,12 +153,19 @@ def test_near_duplicates_equal_brute_force(spark):
     want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.85 * len(sets[a] | sets[b])}
     members, links = neardup.similar_classes(d, node=8)
     assert {(x.id_a, x.id_b) for x in neardup.similar_pairs(members, links).collect()} == want
-    star = {(x.id_a, x.id_b) for x in neardup.similar_pairs(members, links, expand=1).collect()}
+    star = {(x.id_a, x.id_b) for x in neardup.similar_pairs(members, links, multiply=1).collect()}
     assert star <= want
     g = {x.id: x.group_id for x in neardup.groups(members, links).collect()}
     assert all(g[a] == g[b] for a, b in want) and set(g) == set(sets)
 
 
+def test_groups_of_a_long_chain(spark):
+    n = 70
+    members = spark.createDataFrame([(i, i, 1) for i in range(n + 1)], "id long, cls long, copies long")
+    links = spark.createDataFrame([((i * 37) % n, (i * 37) % n + 1, 0.9) for i in range(n)], "a long, b long, similarity double")
+    assert {r.group_id for r in neardup.groups(members, links).collect()} == {0}
+
+
 def test_near_duplicates_large_nodes_and_empty(spark):
     base = prose(9, 20)
     rows = [(i, base + f" number {i} of them all", AT) for i in range(70)]
