@@ -204,7 +204,8 @@ def test_scans(spark):
     model = scans.Layout(fakes[:30])
     right = [a == b for lines, y in fakes[30:] for a, b in zip(model.label(lines), y)]
     assert sum(right) / len(right) > 0.97
-    rows = [(i, t, AT) for i, t in enumerate(clean)] + [(100, "\n".join(fakes[0][0]).replace("station", "stati0n"), AT), (101, None, AT), (102, "", AT)]
+    assert [scans.roman(x) for x in ("i", "iv", "ix", "xiv", "xix", "xl", "xc", "viii")] == [1, 4, 9, 14, 19, 40, 90, 8]
+    rows = [(i, t, AT) for i, t in enumerate(clean)] + [(100, "\n".join(fakes[0][0]).replace("-\n", "\n").replace("station", "stati0n"), AT), (101, None, AT), (102, "", AT)]
     d = spark.createDataFrame(rows, "extract_id long, text string, extracted_at timestamp")
     got = {r.extract_id: r for r in scans.read_scans(d).collect()}
     assert got[0].cases == [] and got[101].cases == [] and got[102].repaired == ""
@@ -212,6 +213,30 @@ def test_scans(spark):
     assert scans.read_scans(d.where("false")).count() == 0
 
 
+def test_misreadings_in_broken_words():
+    words = {"station": 900, "stati0n": 1, "sta": 3, "tion": 2, "carries": 500, "calries": 0, "stat1on": 0}
+    lex = scans.Lexicon(words, {}, {})
+    read = lambda t: scans.read_text(t, [scans.BREAK] + [scans.BODY] * t.count("\n"), lex)
+    assert read("The large sta-\ntion carries load.") == ([(0, "hyphen")], "The large station carries load.")
+    assert read("The large sta-\nti0n carries load.") == ([(0, "hyphen"), (1, "ocr")], "The large station carries load.")
+    words["st4tion"] = 0
+    assert read("The large stat1-\non carries load.") == ([(0, "hyphen"), (0, "ocr")], "The large station carries load.")
+
+
+def test_scan_lines_of_number_columns_and_alternating_heads():
+    rng = np.random.default_rng(8)
+    clean = ["\n\n".join(prose(i * 10 + k, 6) for k in range(9)) for i in range(60)]
+    model = scans.Layout([scans.fake_scan(t, ["How the grid fares", "A first look at load"], rng) for t in clean])
+    body = [x for p in clean[0].split("\n\n") for x in scans.textwrap.wrap(p, 60)]
+    column = ["hours", "488", "884", "144", ""]
+    lines = body[:20] + ["12", "Marsomar Partners"] + body[20:40] + ["13", "How the grid fares"] + body[40:44] + [""] + column + body[44:] + ["14"]
+    y = model.label(lines)
+    assert [x for x, s in zip(lines, y) if s == scans.PAGE] == ["12", "13", "14"]
+    assert [x for x, s in zip(lines, y) if s == scans.HEAD] == ["Marsomar Partners", "How the grid fares"]
+    many = model.label(["17"] * 4000)
+    assert len(many) == 4000 and scans.PAGE not in many
+
+
 def test_scans_count_every_word(spark):
     rows = [(i, f"{prose(i, 8)}\n\nThe bat came out at night {i}.", AT) for i in range(30)] + [(50, f"{prose(50, 8)}\n\nThe hat came out at night.", AT), (51, f"{prose(51, 8)}\n\nThe st†tion is cl0sed and the sta-\ntion waits for winte1.", AT)]
     d = spark.createDataFrame(rows, "extract_id long, text string, extracted_at timestamp")
@@ -225,7 +250,7 @@ def test_scans_count_every_word(spark):
     counts = {k: n for b in scans._counts(iter([pa.record_batch([pa.array([t for _, t, _ in rows])], names=["text"])])) for k, n in zip(*(c.to_pylist() for c in b.columns))}
     full = scans.Lexicon(Full({k[1:]: n for k, n in counts.items() if k[0] == "w"}), {}, {})
     for i, t, _ in rows:
-        y = [scans.BODY if x.strip() else scans.BLANK for x in t.split("\n")]
+        y = [scans.BREAK if x.strip() else scans.BLANK for x in t.split("\n")]
         cases, text = scans.read_text(t, y, full)
         assert [(c.line_no, c.kind) for c in got[i].cases if c.kind in ("ocr", "hyphen")] == cases and got[i].repaired == text
 
