@@ -3,10 +3,12 @@
 Tag-path ratios, for pages that reach us as lines: a line's path is its site together with the line
 as printed, digits masked (what a template prints again has the same path on every page).
 
-1. Over all pages, per path: pages that print it, text length, punctuation. Paths on a large share
-   of a site's pages are frame; there are at most 1/``share`` times as many as lines on a page.
+1. Over all pages, per path: pages that print it, text length and punctuation. Both are fused (their
+   geometric mean), smoothed towards the site's and the corpus's mean, and thresholded at ``rich`` times it:
+   a path that a large share of the site's pages print is frame if it lies below, and text printed
+   again if above. There are at most 1/``share`` times as many frequent paths as lines on a page.
 2. A linear classifier on words and shape carries this over to sites with few pages. It is fitted on
-   a bounded sample: lines of frequent paths against lines rich in text and punctuation and the
+   a bounded sample: lines of frame paths against lines rich in text and punctuation and the
    titles in front of them.
 3. Per page, length and punctuation ratios are smoothed over the lines, fused and thresholded;
    blocks opened by a teaser or comment heading are left out up to the next running text.
@@ -17,15 +19,19 @@ deliveries the latest counts; a page may have no main body at all.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from papyra.llm import textscan as ts
+from papyra.llm.tokens import chunks
 from papyra.operators.common import latest, spread, stored
 
 BITS = 16
@@ -57,21 +63,65 @@ def size(line: str) -> int:
     return len(line) + len(_CJK.findall(line))
 
 
-def tokens(line: str) -> tuple[np.ndarray, np.ndarray]:
-    low = line.lower()
-    words = _WORD.findall(low)
-    names: list[str] = []
-    for w in words:
-        if _CJK.match(w):
-            names += [w[i : i + 2] for i in range(len(w) - 1)] or [w]
-        else:
-            names.append(w)
-    flat = [w for w in words if not _CJK.match(w)]
-    names += [f"{a} {b}" for a, b in zip(flat, flat[1:])]
-    n = max(2.0, len(names) / 4)
-    shape = [f"#s{min(4, sentences(line))}", f"#l{min(9, size(line) // 15)}", f"#p{min(5, len(_SEPARATED.findall(line)))}", f"#e{line[-1:] if not line[-1:].isalnum() else 'w'}", f"#d{min(3, sum(c.isdigit() for c in line))}", "#b"]
-    k = np.fromiter((zlib.crc32(x.encode("utf-8", "surrogatepass")) % (1 << BITS) for x in names + shape), np.int64)
-    return k, np.array([1.0 / n] * len(names) + [0.5] * len(shape))
+class Facts(NamedTuple):
+    """What a line shows by itself."""
+
+    path: int
+    plain: str
+    ends: int
+    size: int
+    bullet: bool
+    number: bool
+    table: bool
+    parted: bool
+    lead: bool
+    head: bool
+    talk: bool
+    wordless: bool
+    shape: tuple[int, ...]
+
+
+@functools.lru_cache(maxsize=50_000)
+def facts(line: str) -> Facts:
+    """Of a stripped line; lines of a frame come again and again, so the last are remembered."""
+    bullet, number = bool(_BULLET.match(line)), bool(_NUMBERED.match(line))
+    plain = _BULLET.sub("", _NUMBERED.sub("", line)) if bullet or number else line
+    ends, n = sentences(plain), size(line)
+    table = "|" in line and bool(re.search(r"\d", line)) or bool(re.match(r"^\|?[\s:|-]+\|$", line))
+    gaps = len(_SEPARATED.findall(line)) if n < 400 else 0
+    digits = sum(map(str.isdigit, line[:200]))
+    shape = (min(4, sentences(line)), 5 + min(9, n // 15), 15 + min(5, gaps), 21 + min(3, digits), 25 + (0 if line[-1:].isalnum() else 1 + ord(line[-1:]) % 230), 24)
+    wordless = not table and max((len(w) for w in _WORD.findall(line[:400])), default=0) < 2
+    return Facts(path(line), plain, ends, n, bullet, number, table, gaps >= 1 and ends == 0 and not table, bool(_LEAD.match(line)), line.lower() in TEASERS, bool(_COMMENTS.match(line)), wordless, shape)
+
+
+def features(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, bucket, value): words and neighbouring words, pairs of ideographs and kana, and the shape of each line."""
+    low = [x.lower() for x in lines]
+    cp, _, ends = ts.flat(low)
+    letter = ts.classes()[cp] == ts.LETTER
+    cjk = letter & ((cp >= 0x3040) & (cp <= 0x30FF) | (cp >= 0x3400) & (cp <= 0x9FFF))
+    p = ts.prefix(cp)
+    edge = np.diff(np.concatenate([[False], letter & ~cjk, [False]]).astype(np.int8))
+    s, e = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    d, h = np.searchsorted(ends, s), ts.mix(ts.span_hash(p, s, e))
+    both = np.flatnonzero(d[1:] == d[:-1])
+    two = np.flatnonzero(cjk[:-1] & cjk[1:])
+    at = np.concatenate([d, d[both], np.searchsorted(ends, two)])
+    k = np.concatenate([h, ts.mix(h[both] * np.uint64(3) + h[both + 1]), ts.mix(ts.span_hash(p, two, two + 2), 2)]) % np.uint64((1 << BITS) - 256)
+    n = np.maximum(2.0, np.bincount(at, minlength=len(lines)) / 4)
+    shapes = np.array([facts(x).shape for x in lines], np.int64).reshape(len(lines), -1)
+    line = np.concatenate([at, np.repeat(np.arange(len(lines)), shapes.shape[1])])
+    return line, np.concatenate([k.astype(np.int64), shapes.ravel() + (1 << BITS) - 256]), np.concatenate([1.0 / n[at], np.full(shapes.size, 0.5)])
+
+
+def guesses(lines: list[str], w: np.ndarray) -> np.ndarray:
+    """The frame classifier's score of each line."""
+    out = []
+    for i, j in chunks(lines, 500_000):
+        line, k, x = features(lines[i:j])
+        out.append(np.bincount(line, x * w[k], j - i))
+    return np.concatenate(out) if out else np.zeros(0)
 
 
 def lines_of(text: str | None) -> list[tuple[int, str]]:
@@ -101,7 +151,13 @@ def fit(pages: list[tuple[str, set[int]]], seed: int = 3) -> np.ndarray:
                 rows[s, 1] = ()
             elif sentences(s) >= 2 or (i + 1 < len(ls) and not hit[i + 1] and sentences(ls[i + 1]) >= 3 and sentences(s) == 0 and s.lower() not in TEASERS):
                 rows[s, 0] = ()
-    data = [(*tokens(s), y) for s, y in rows]
+    data = []
+    known = list(rows)
+    for i, j in chunks([s for s, _ in known], 500_000):
+        line, k, x = features([s for s, _ in known[i:j]])
+        order = np.argsort(line, kind="stable")
+        cuts = np.searchsorted(line[order], np.arange(1, j - i))
+        data += [(a, b, y) for a, b, (_, y) in zip(np.split(k[order], cuts), np.split(x[order], cuts), known[i:j])]
     w, g2 = np.zeros(1 << BITS), np.full(1 << BITS, 1e-3)
     for _ in range(4):
         for i in rng.permutation(len(data)).tolist():
@@ -118,30 +174,18 @@ def _overlap(line: str, words: set[str]) -> float:
     return sum(p in words for p in parts) / len(parts) if parts else 0.0
 
 
-def not_main(text: str | None, frame: set[int], w: np.ndarray, common: frozenset[int] = frozenset()) -> list[int]:
-    """Numbers of the lines that are not main body."""
-    ls = lines_of(text)
+def not_main(ls: list[tuple[int, str]], frame: set[int], guess: np.ndarray, common: frozenset[int] = frozenset()) -> list[int]:
+    """Numbers of the lines that are not main body, of the lines of a page and the classifier's score of each."""
     n = len(ls)
     if not n:
         return []
     s = [x for _, x in ls]
-    plain = [_BULLET.sub("", _NUMBERED.sub("", x)) for x in s]
-    ends, length = np.array([sentences(x) for x in plain]), np.array([size(x) for x in s], float)
-    at = [path(x) for x in s]
-    known = np.array([p in frame or (p in common and not _BULLET.match(x)) for p, x in zip(at, s)])
-    guess = np.empty(n)
-    for i, x in enumerate(s):
-        k, v = tokens(x)
-        guess[i] = v @ w[k]
-    table = np.array(["|" in x and bool(re.search(r"\d", x)) or bool(re.match(r"^\|?[\s:|-]+\|$", x)) for x in s])
-    parted = np.array([(len(_SEPARATED.findall(x)) >= 1 and e == 0 and not t) for x, e, t in zip(s, ends, table)])
-    lead = np.array([bool(_LEAD.match(x)) for x in s])
-    bullet = np.array([bool(_BULLET.match(x)) for x in s])
-    number = np.array([bool(_NUMBERED.match(x)) for x in s])
-    head = np.array([x.lower() in TEASERS for x in s])
-    talk = np.array([bool(_COMMENTS.match(x)) for x in s])
-    wordless = np.array([not t and max(map(len, _WORD.findall(x)), default=0) < 2 for x, t in zip(s, table)])
-    off = wordless | known & ~((ends >= 3) & (guess < 0)) | (guess > 0) & ~bullet & ~table | parted | lead | head | talk
+    f = [facts(x) for x in s]
+    plain = [x.plain for x in f]
+    ends, length = np.array([x.ends for x in f]), np.array([x.size for x in f], float)
+    bullet, number, table, parted, lead, head, talk, wordless = np.array([x[4:12] for x in f]).T
+    known = np.array([x.path in frame or (x.path in common and not x.bullet) for x in f])
+    off = wordless | known | (guess > 0) & ~bullet & ~table | parted | lead | head | talk
     # ratios, smoothed over the lines and fused
     punct = ends / np.maximum(length, 1) * 60
     kernel = np.array([0.2, 0.6, 0.2])
@@ -150,7 +194,7 @@ def not_main(text: str | None, frame: set[int], w: np.ndarray, common: frozenset
     text_line = ~off & (ends >= 2) & (fused > 0.4 * max(0.3, np.median(fused[~off & (ends >= 2)]) if (~off & (ends >= 2)).any() else 0.3))
     main = text_line.copy()
     words = set()
-    for i in np.flatnonzero(text_line).tolist():
+    for i in np.flatnonzero(text_line).tolist() if head.any() else ():
         for x in _WORD.findall(s[i].lower()):
             words.update([x[j : j + 2] for j in range(len(x) - 1)] if _CJK.match(x) else [x])
     member = np.zeros(n, bool)
@@ -200,27 +244,42 @@ def _judge(weights: bytes, common: frozenset[int]):
         w = np.frombuffer(weights, np.float64)
         kind = pa.list_(pa.int32())
         for b in batches:
-            out = [not_main(t, set(f or ()), w, common) for t, f in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            pages = [(lines_of(t), f) for t, f in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            guess = dict.fromkeys(x for ls, _ in pages for _, x in ls)
+            guess = dict(zip(guess, guesses(list(guess), w).tolist()))
+            out = [not_main(ls, set(f or ()), np.array([guess[x] for _, x in ls]), common) for ls, f in pages]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(out, kind)], names=["id", "arrived", "lines"])
 
     return run
 
 
-def page_frames(pages: DataFrame, key: str = "crawl_id", url: str = "url", text: str = "text", arrived: str = "crawled_at", share: float = 0.25, least: int = 4, spread_share: float = 0.002, sample: int = 2500, salts: int = 16) -> DataFrame:
+def _rare(paths: DataFrame, least: int) -> DataFrame:
+    """The paths of few pages, one row a site: they matter to its mean only."""
+    few = paths.where((F.col("n") < least - 1) & (F.col("ends") > 0)).groupBy("host").agg(F.sum("n").alias("n"), F.sum("letters").alias("letters"), F.sum("ends").alias("ends"), F.sum(F.col("n") * F.col("ratio")).alias("mass"))
+    return few.select("host", F.lit(None).cast("long").alias("path"), "n", "letters", "ends", (F.col("mass") / F.col("n")).alias("ratio"))
+
+
+def page_frames(pages: DataFrame, key: str = "crawl_id", url: str = "url", text: str = "text", arrived: str = "crawled_at", share: float = 0.25, least: int = 4, spread_share: float = 0.002, rich: float = 1.25, sample: int = 2500, salts: int = 16) -> DataFrame:
     """(key, lines array<int>): the numbers of the lines of each page that are not main body. ``sample`` bounds the pages the classifier is fitted on."""
     host = F.regexp_replace(F.lower(F.regexp_extract(url, r"(?i)^(?:https?://)?([^/?#:]*)", 1)), r"^(?:www\d?|m|amp)\.", "")
     src = pages.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.coalesce(host, F.lit("")).alias("host"), F.col(text).alias("text"), F.col(arrived).cast("timestamp").alias("arrived"))
     src = spread(src, "id")
     rows = src.select("id", "host", "text").mapInArrow(_paths, "id long, host string, path long, letters int, ends int").dropDuplicates(["host", "path", "id"])
-    paths = rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("letters").alias("letters"), F.sum("ends").alias("ends"))
-    sites = src.select("host", "id").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    often = paths.where(F.col("n") >= least - 1).join(sites.where(F.col("pages") >= least), "host").where(F.col("n") >= F.col("pages") * share)
+    n, per_line = F.col("n"), F.sqrt(F.col("letters") / F.col("n") * F.col("ends") / F.col("n"))
+    paths = rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("letters").alias("letters"), F.sum("ends").alias("ends")).withColumn("ratio", per_line)
+    paths = stored(paths.where(F.col("n") >= least - 1).unionByName(_rare(paths, least)), "paths")
+    texts = paths.where("ends > 0").groupBy("host").agg(F.sum(n * F.col("ratio")).alias("mass"), F.sum("n").alias("lines"))
+    whole = texts.agg(F.coalesce(F.sum("mass") / F.sum("lines"), F.lit(0.0)).alias("m")).first().m
+    level = (F.coalesce("mass", F.lit(0.0)) + 20 * whole) / (F.coalesce("lines", F.lit(0)) + 20)
+    sites = src.select("host", "id").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages")).join(texts, "host", "left").withColumn("cut", rich * level)
+    smooth = (n * F.col("ratio") + 2 * F.col("cut")) / (n + 2)
+    often = paths.where(F.col("path").isNotNull()).join(sites.where(F.col("pages") >= least), "host").where((n >= F.col("pages") * share) & (smooth < F.col("cut")))
     frames = stored(often.groupBy("host").agg(F.collect_list("path").alias("frame")), "frames")
-    n = max(1, src.count())
+    total = max(1, src.count())
     # a page prints some 25 lines, so at most 25 / 0.002 paths can be on that share of all pages, whatever their number
-    everywhere = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(3.0, spread_share * n))
+    everywhere = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.sum("letters").alias("letters"), F.sum("ends").alias("ends")).where((n >= max(3.0, spread_share * total)) & (per_line < rich * whole))
     common = frozenset(r.path for r in everywhere.select("path").collect())
-    picked = src.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(min(1.0, sample / n) * (1 << 30))).join(frames, "host")
+    picked = src.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(min(1.0, sample / total) * (1 << 30))).join(frames, "host")
     w = fit([(r.text, set(r.frame)) for r in picked.select("id", "text", "frame").sort("id").limit(2 * sample).collect()])
     salted = frames.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     joined = src.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(salted, ["host", "salt"], "left")
