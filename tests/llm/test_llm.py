@@ -199,8 +199,8 @@ def test_pages(spark):
 
 def test_repeated_text_rich_in_length_and_punctuation_is_no_frame(spark):
     nav, again = "Home | News | World | About", prose(77, 9)
-    pages = [(i, "https://few.example/x", f"{nav}\nHow {WORDS[i]} fares\n{again}\n{prose(i, 3)}\n© 2024 The Paper.", AT) for i in range(6)]
-    pages += [(100 + i, "https://site.example/x", f"{nav}\nHow {WORDS[i % 20]} fares\n{prose(i, 3)}\n{prose(i + 50, 3)}\n© 2024 The Paper.", AT) for i in range(40)]
+    pages = [(i, "https://few.example/x", f"{nav}\nHow {prose(i + 900, 1)[:28]}\n{again}\n{prose(i, 3)}\n© 2024 The Paper.", AT) for i in range(6)]
+    pages += [(100 + i, "https://site.example/x", f"{nav}\nHow {prose(i + 950, 1)[:28]}\n{prose(i, 3)}\n{prose(i + 50, 3)}\n© 2024 The Paper.", AT) for i in range(40)]
     d = spark.createDataFrame(pages, "crawl_id long, url string, text string, crawled_at timestamp")
     got = {r.crawl_id: sorted(r["lines"]) for r in mainbody.page_frames(d).collect()}
     assert all(got[i] == [0, 4] for i in range(6)) and all(got[100 + i] == [0, 4] for i in range(40))
