@@ -130,6 +130,11 @@ def xml_escape(c: Column) -> Column:
     return c
 
 
+def keyword_flags(c: Column) -> dict[str, Column]:
+    """P10: what marks in a review answer say."""
+    return {"crossed": c.contains("❌"), "invented": c.rlike("幻觉|编造"), "missing_part": c.rlike("遗漏|缺失"), "no_note": c.contains("无需补注"), "covered": c.contains("覆盖充分")}
+
+
 def config_hash(provider: Column, model: Column) -> Column:
     """F26."""
     return F.substring(F.md5(F.concat_ws("|", F.coalesce(provider, F.lit("")), F.coalesce(model, F.lit("")))), 1, 12)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyra.functions import text as T
@@ -10,9 +10,16 @@ from papyra.operators import cluster, firstkept, rank
 from papyra.operators.common import stored
 
 
-def once(df: DataFrame, key: str) -> DataFrame:
-    """Each key once. Deliveries of a key have the same content, so any of them serves."""
-    return df.dropDuplicates([key])
+def once(df: DataFrame, key: str, arrived: str) -> DataFrame:
+    """Each key once, whole rows: the earliest delivery. For a few narrow columns ``first_delivery`` shuffles less."""
+    one = df.groupBy(key).agg(F.min_by(F.struct(*[c for c in df.columns if c != key]), arrived).alias("_r"))
+    return one.select(key, "_r.*").select(*df.columns)
+
+
+def first_delivery(df: DataFrame, key: str, arrived: str, **columns: Column) -> DataFrame:
+    """(key, columns) of the earliest delivery of each key. Columns are computed first, so only results are shuffled and no texts."""
+    d = df.select(F.col(key), F.col(arrived).alias("_at"), F.struct(*[c.alias(n) for n, c in columns.items()]).alias("_r"))
+    return d.groupBy(key).agg(F.min_by("_r", "_at").alias("_r")).select(key, "_r.*")
 
 
 def with_fields(docs: DataFrame) -> DataFrame:
@@ -48,7 +55,8 @@ def dedup_paragraphs(docs: DataFrame, least: int = 100) -> DataFrame:
     stands in order of (file_id, para_ord) only; without any such paragraph all bodies stay as they are."""
     p = paragraphs(docs).withColumn("fp", F.when(F.length(F.trim("para")) >= least, F.md5(F.trim("para"))))
     dup = p.where("fp IS NOT NULL").groupBy("fp").agg(F.min("file_id").alias("lo"), F.max("file_id").alias("hi"), F.min(F.struct("file_id", "para_ord")).alias("first")).where("lo < hi").select("fp", "first")
-    kept = p.join(dup, "fp", "left").where(F.col("first").isNull() | (F.struct("file_id", "para_ord") == F.col("first")))
+    asked = p.where("fp IS NOT NULL").join(dup, "fp", "left").where(F.col("first").isNull() | (F.struct("file_id", "para_ord") == F.col("first")))
+    kept = asked.select("file_id", "para_ord", "para").unionByName(p.where("fp IS NULL").select("file_id", "para_ord", "para"))  # short ones have no part in the join
     bodies = kept.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("para_ord", "para"))).alias("ps"))
     return docs.select("file_id").join(bodies, "file_id", "left").select("file_id", F.coalesce(F.array_join(F.transform("ps", lambda x: x["para"]), "\n\n"), F.lit("")).alias("body"))
 

@@ -15,22 +15,29 @@ _A = (_R.integers(1, 1 << 32, PERMS, dtype=np.uint64) | np.uint64(1)).astype(np.
 _B = _R.integers(0, 1 << 32, PERMS, dtype=np.uint64).astype(np.uint32)
 
 
+def mix(x: np.ndarray) -> np.ndarray:
+    """64-bit finaliser."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
 def _bands(text: str | None) -> list[int]:
+    """A 64-bit key for each band of the MinHash signature over the text's K-character pieces; a shorter text is its own piece."""
     s = " ".join((text or "").lower().split())
-    pieces = {s[i : i + K] for i in range(max(1, len(s) - K + 1))}
-    h = np.array([hash_(p) for p in pieces], np.uint32)[:, None]
+    cp = np.frombuffer(s.ljust(K, "\0").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    h = np.zeros(len(cp) - K + 1, np.uint64)
+    for i in range(K):
+        h = mix(h * np.uint64(31) + cp[i : len(cp) - K + 1 + i])
+    h = (np.unique(h) >> np.uint64(32)).astype(np.uint32)[:, None]
     sig = np.full(PERMS, 0xFFFFFFFF, np.uint32)
     for i in range(0, len(h), 4096):
-        np.minimum(sig, (h[i : i + 4096] * _A + _B).min(0), out=sig)
-    rows = sig.reshape(BANDS, -1)
-    return [hash_(bytes([b]) + r.tobytes()) << 3 | b for b, r in enumerate(rows)]
-
-
-def hash_(x: str | bytes) -> int:
-    import zlib
-
-    x = x.encode("utf-8", "surrogatepass") if isinstance(x, str) else x
-    return (zlib.crc32(x) * 0x9E3779B1 ^ zlib.adler32(x)) & 0xFFFFFFFF
+        y = h[i : i + 4096] * _A + _B
+        np.minimum(sig, (y ^ (y >> np.uint32(15))).min(0), out=sig)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for row in sig.reshape(BANDS, -1).T.astype(np.uint64):
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + row)
+    return key.view(np.int64).tolist()
 
 
 def kept_first(docs: DataFrame, key: str = "file_id", text: str = "body") -> DataFrame:

@@ -27,7 +27,17 @@ def query(sql: str | None = None):
 
 
 def docs(s: SparkSession, d: str) -> DataFrame:
-    return corpus.once(table(s, d, "corpus_docs"), "file_id")
+    """Whole rows of corpus_docs, each file once."""
+    return corpus.once(table(s, d, "corpus_docs"), "file_id", ARRIVED["corpus_docs"][1])
+
+
+#: Key and arrival of the record tables.
+ARRIVED = {"corpus_docs": ("file_id", "ingested_at"), "research_findings": ("finding_id", "created_at"), "search_results": ("result_id", "fetched_at"), "crawl_results": ("crawl_id", "crawled_at"), "extraction_results": ("extract_id", "extracted_at")}
+
+
+def first(s: SparkSession, d: str, name: str, **columns) -> DataFrame:
+    """Columns of the earliest delivery of each record; only they are shuffled."""
+    return corpus.first_delivery(table(s, d, name), *ARRIVED[name], **columns)
 
 
 _DOCS = "(SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY ingested_at) rn FROM corpus_docs) WHERE rn = 1)"
@@ -47,19 +57,20 @@ def p4_found(s, d):
 
 @query(f"SELECT file_id, CAST(length(coalesce(body, '')) AS INT) raw_len, md5(coalesce(body, '')) raw_md5 FROM {_DOCS}")
 def doc_fields(s, d):
-    return corpus.with_fields(docs(s, d)).select("file_id", "raw_len", "raw_md5")
+    body = F.coalesce("body", F.lit(""))
+    return first(s, d, "corpus_docs", raw_len=F.length(body), raw_md5=F.md5(body))
 
 
 @query(f"SELECT CASE WHEN md5 IS NULL OR md5 = '' THEN 'missing' WHEN md5 = md5(coalesce(body, '')) THEN 'equal' WHEN lower(md5) = md5(coalesce(body, '')) THEN 'case' ELSE 'stale' END state, count(*) n FROM {_DOCS} GROUP BY 1")
 def md5_states(s, d):
     m = F.md5(F.coalesce("body", F.lit("")))
     state = F.when(F.coalesce("md5", F.lit("")) == "", "missing").when(F.col("md5") == m, "equal").when(F.lower("md5") == m, "case").otherwise("stale")
-    return docs(s, d).groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("n"))
+    return first(s, d, "corpus_docs", state=state).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"SELECT file_id, CAST(length(body) AS INT) raw_len FROM {_DOCS} WHERE length(body) >= 500")
 def filter_short(s, d):
-    return corpus.with_fields(docs(s, d)).where("raw_len >= 500").select("file_id", "raw_len")
+    return first(s, d, "corpus_docs", raw_len=F.length(F.coalesce("body", F.lit("")))).where("raw_len >= 500")
 
 
 @query("SELECT trim(filename) filename, lower(trim(arg_max(coalesce(status, '\x01'), line_id))) status FROM file_index WHERE filename IS NOT NULL GROUP BY trim(filename)".replace("lower(trim(arg_max(coalesce(status, '\x01'), line_id)))", "nullif(lower(trim(arg_max(coalesce(status, '<null>'), line_id))), '<null>')"))
@@ -69,27 +80,29 @@ def status_index(s, d):
 
 @query(f"SELECT c.file_id FROM {_DOCS} c LEFT JOIN (SELECT trim(filename) f, arg_max(coalesce(lower(trim(status)), 'ok'), line_id) st FROM file_index GROUP BY 1) i ON c.filename = i.f WHERE coalesce(st, 'ok') IN ('ok', '')")
 def status_join(s, d):
-    return corpus.filter_status(docs(s, d), table(s, d, "file_index")).select("file_id")
+    return corpus.filter_status(first(s, d, "corpus_docs", filename=F.col("filename")), table(s, d, "file_index")).select("file_id")
 
 
 @query(f"""SELECT file_id, coalesce(nullif(concat_ws(' ', nullif(source, ''), nullif(regexp_replace(regexp_replace(published, 'T\\d{{2}}:\\d{{2}}:\\d{{2}}[+\\-]\\d{{2}}:\\d{{2}}', '', 'g'), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g'), '')), ''), filename) AS label FROM {_DOCS}""")
 def source_labels(s, d):
-    return docs(s, d).select("file_id", T.source_label(F.col("source"), F.col("published"), F.col("filename")).alias("label"))
+    return first(s, d, "corpus_docs", label=T.source_label(F.col("source"), F.col("published"), F.col("filename")))
 
 
 @query()
 def boilerplate(s, d):
-    return docs(s, d).select("file_id", F.md5(T.remove_boilerplate(F.col("body"))).alias("clean_md5"), F.length(T.remove_boilerplate(F.col("body"))).alias("clean_len"))
+    x = table(s, d, "corpus_docs").select("file_id", "ingested_at", T.remove_boilerplate(F.col("body")).alias("t"))
+    return corpus.first_delivery(x, "file_id", "ingested_at", clean_md5=F.md5("t"), clean_len=F.length("t"))
 
 
 @query(f"SELECT file_id FROM (SELECT file_id, row_number() OVER (PARTITION BY md5(coalesce(body, '')) ORDER BY filepath NULLS FIRST, file_id) r FROM {_DOCS}) WHERE r = 1")
 def exact_dedup(s, d):
-    return corpus.dedup_exact(corpus.with_fields(docs(s, d))).select("file_id")
+    x = first(s, d, "corpus_docs", filepath=F.col("filepath"), raw_md5=F.md5(F.coalesce("body", F.lit(""))))
+    return corpus.dedup_exact(x).select("file_id")
 
 
 @query(f"SELECT md5(coalesce(body, '')) raw_md5, count(*) copies, min(file_id) first_id FROM {_DOCS} GROUP BY 1 HAVING count(*) > 1")
 def exact_groups(s, d):
-    return corpus.with_fields(docs(s, d)).groupBy("raw_md5").agg(F.count(F.lit(1)).alias("copies"), F.min("file_id").alias("first_id")).where("copies > 1")
+    return first(s, d, "corpus_docs", raw_md5=F.md5(F.coalesce("body", F.lit("")))).groupBy("raw_md5").agg(F.count(F.lit(1)).alias("copies"), F.min("file_id").alias("first_id")).where("copies > 1")
 
 
 @query()
@@ -156,7 +169,7 @@ def relevance_top(s, d):
 
 @query()
 def sentence_counts(s, d):
-    return docs(s, d).select("file_id", F.size(T.sentences(F.col("body"))).alias("n_sentences"))
+    return first(s, d, "corpus_docs", n_sentences=F.size(T.sentences(F.coalesce("body", F.lit("")))))
 
 
 @query()
@@ -169,30 +182,25 @@ def text_clusters(s, d):
     return cluster.clusters(docs(s, d), "file_id", "body")
 
 
-@query("SELECT crawl_id, md5(trim(regexp_replace(regexp_replace(concat('<p>', replace(text, chr(10), '</p><p>'), '</p>'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))) text_md5 FROM (SELECT crawl_id, regexp_replace(any_value(text), '[^ -~\\n]', '', 'g') AS text FROM crawl_results GROUP BY 1) WHERE text IS NOT NULL")
-def html_import(s, d):
-    t = corpus.once(table(s, d, "crawl_results"), "crawl_id").where("text IS NOT NULL")
-    page = F.concat(F.lit("<p>"), F.replace(F.regexp_replace("text", r"[^ -~\n]", ""), F.lit("\n"), F.lit("</p><p>")), F.lit("</p>"))
-    return t.select("crawl_id", F.md5(T.html_text(page)).alias("text_md5"))
+#: White space of Unicode, as a class that RE2 knows.
+_WS = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
 
-@query()
-def html_import_whole(s, d):
-    t = corpus.once(table(s, d, "crawl_results"), "crawl_id").where("text IS NOT NULL")
+@query(f"SELECT crawl_id, md5(trim(regexp_replace(regexp_replace(concat('<p>', replace(text, chr(10), '</p><p>'), '</p>'), '<[^>]+>', ' ', 'g'), '{_WS}+', ' ', 'g'), ' ')) text_md5 FROM (SELECT crawl_id, any_value(text) AS text FROM crawl_results GROUP BY 1) WHERE text IS NOT NULL")
+def html_import(s, d):
     page = F.concat(F.lit("<p>"), F.replace("text", F.lit("\n"), F.lit("</p><p>")), F.lit("</p>"))
-    return t.select("crawl_id", F.md5(T.html_text(page)).alias("text_md5"))
+    return first(s, d, "crawl_results", text_md5=F.md5(T.html_text(page))).where("text_md5 IS NOT NULL")
 
 
 @query("SELECT crawl_id, platform, concat_ws('_', platform, coalesce(nullif(substr(regexp_extract(url, 'share/([a-zA-Z0-9_-]+)', 1), 1, 30), ''), nullif(substr(regexp_extract(url, '([a-zA-Z0-9]{10,})', 1), 1, 30), ''), 'import')) slug FROM (SELECT crawl_id, any_value(url) url, CASE WHEN NOT regexp_matches(trim(any_value(url)), '^https?://') THEN 'file' WHEN regexp_matches(lower(any_value(url)), 'chatgpt\\.com|chat\\.openai\\.com') THEN 'chatgpt' WHEN regexp_matches(lower(any_value(url)), 'gemini\\.google\\.com|g\\.co/gemini') THEN 'gemini' WHEN regexp_matches(lower(any_value(url)), 'perplexity\\.ai') THEN 'perplexity' ELSE 'generic' END platform FROM crawl_results WHERE url IS NOT NULL GROUP BY 1)")
 def url_slugs(s, d):
-    t = corpus.once(table(s, d, "crawl_results"), "crawl_id").where("url IS NOT NULL")
     p = T.detect_source(F.col("url"))
-    return t.select("crawl_id", p.alias("platform"), T.slug(F.col("url"), p).alias("slug"))
+    return first(s, d, "crawl_results", platform=p, slug=T.slug(F.col("url"), p), url=F.col("url")).where("url IS NOT NULL").drop("url")
 
 
 @query(f"SELECT finding_id, concat_ws(chr(10) || chr(10), CASE WHEN trim(coalesce(question, ''), ' ') <> '' THEN '用户：' || trim(question, ' ') END, CASE WHEN trim(coalesce(answer, ''), ' ') <> '' THEN '助手：' || trim(answer, ' ') END) transcript FROM {_FOUND} WHERE trim(coalesce(question, ''), ' ') <> '' OR trim(coalesce(answer, ''), ' ') <> ''")
 def transcripts(s, d):
-    f = corpus.once(table(s, d, "research_findings"), "finding_id")
+    f = first(s, d, "research_findings", question=F.col("question"), answer=F.col("answer"))
     turns = f.select("finding_id", F.explode(F.array(F.struct(F.lit(0).alias("turn"), F.lit("user").alias("role"), F.col("question").alias("text")), F.struct(F.lit(1).alias("turn"), F.lit("assistant").alias("role"), F.col("answer").alias("text")))).alias("t")).select("finding_id", "t.*")
     return reports.transcript(turns, "finding_id", "turn", "role", "text")
 
@@ -251,25 +259,18 @@ def issue_top(s, d):
 
 @query("SELECT finding_id, url, CAST(pos AS INT) pos FROM (SELECT finding_id, c.url url, min(pos) pos FROM (SELECT finding_id, unnest(citations) c, generate_subscripts(citations, 1) - 1 pos FROM (SELECT finding_id, any_value(citations) citations FROM research_findings GROUP BY 1)) WHERE trim(coalesce(c.url, '')) <> '' GROUP BY 1, 2)")
 def citation_dedup(s, d):
-    return reports.citations(corpus.once(table(s, d, "research_findings"), "finding_id"), "finding_id", "citations").select("finding_id", "url", "pos")
+    return reports.citations(first(s, d, "research_findings", citations=F.col("citations")), "finding_id", "citations").select("finding_id", "url", "pos")
 
 
 @query("SELECT finding_id, CASE WHEN len(citations) > 0 THEN '## References' || chr(10) || chr(10) || array_to_string(list_transform(citations, lambda x, i: '[' || i || '] ' || coalesce(x.title, x.url, '') || '. ' || coalesce(x.url, '')), chr(10)) ELSE NULL END refs FROM (SELECT finding_id, any_value(citations) citations FROM research_findings GROUP BY 1) WHERE len(citations) > 0")
 def reference_lists(s, d):
-    f = corpus.once(table(s, d, "research_findings"), "finding_id").where("size(citations) > 0")
-    return f.select("finding_id", T.references(F.col("citations")).alias("refs"))
+    return first(s, d, "research_findings", refs=F.when(F.size("citations") > 0, T.references(F.col("citations")))).where("refs IS NOT NULL")
 
 
-@query(f"SELECT finding_id, md5(regexp_replace(answer, '\\s*\\[\\d+\\]', '', 'g')) stripped_md5, md5(replace(replace(answer, '[1]', '[1 待验证]'), '[3]', '[3 待验证]')) marked_md5 FROM {_FOUND} WHERE answer IS NOT NULL AND NOT regexp_matches(answer, '[^\\x20-\\x7e\\n]')")
+@query(f"SELECT finding_id, md5(regexp_replace(answer, '{_WS}*\\[\\d+\\]', '', 'g')) stripped_md5, md5(replace(replace(answer, '[1]', '[1 待验证]'), '[3]', '[3 待验证]')) marked_md5 FROM {_FOUND} WHERE answer IS NOT NULL")
 def citation_marks(s, d):
-    f = corpus.once(table(s, d, "research_findings"), "finding_id").where("answer IS NOT NULL").where(~F.col("answer").rlike(r"[^\x20-\x7e\n]"))
-    return f.select("finding_id", F.md5(T.strip_citations(F.col("answer"))).alias("stripped_md5"), F.md5(T.mark_unverified(F.col("answer"), [1, 3])).alias("marked_md5"))
-
-
-@query()
-def citation_marks_whole(s, d):
-    f = corpus.once(table(s, d, "research_findings"), "finding_id").where("answer IS NOT NULL")
-    return f.select("finding_id", F.md5(T.strip_citations(F.col("answer"))).alias("stripped_md5"), F.md5(T.mark_unverified(F.col("answer"), [1, 3])).alias("marked_md5"))
+    a = F.col("answer")
+    return first(s, d, "research_findings", stripped_md5=F.md5(T.strip_citations(a)), marked_md5=F.md5(T.mark_unverified(a, [1, 3]))).where("stripped_md5 IS NOT NULL")
 
 
 @query(f"SELECT category, md5(string_agg('--- 来自文件: ' || coalesce(filename, '') || ' ---' || chr(10) || coalesce(body, ''), chr(10) || chr(10) ORDER BY filename NULLS FIRST, body NULLS FIRST)) corpus_md5 FROM {_DOCS} GROUP BY 1")
@@ -294,10 +295,11 @@ def json_props(s, d):
     return table(s, d, "events").groupBy("event_type").agg(F.sum(k).alias("k_sum"), F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT finding_id, contains(answer, '❌') crossed, regexp_matches(answer, '幻觉|编造') invented, regexp_matches(answer, '遗漏|缺失') missing_part, contains(answer, '%') percent FROM {_FOUND} WHERE answer IS NOT NULL")
+@query(f"SELECT finding_id, contains(answer, '❌') crossed, regexp_matches(answer, '幻觉|编造') invented, regexp_matches(answer, '遗漏|缺失') missing_part, contains(answer, '无需补注') no_note, contains(answer, '覆盖充分') covered, contains(answer, '%') percent FROM {_FOUND} WHERE answer IS NOT NULL")
 def keyword_flags(s, d):
     a = F.col("answer")
-    return corpus.once(table(s, d, "research_findings"), "finding_id").where("answer IS NOT NULL").select("finding_id", a.contains("❌").alias("crossed"), a.rlike("幻觉|编造").alias("invented"), a.rlike("遗漏|缺失").alias("missing_part"), a.contains("%").alias("percent"))
+    flags = T.keyword_flags(a)
+    return first(s, d, "research_findings", **flags, percent=a.contains("%")).where("crossed IS NOT NULL")
 
 
 @query("SELECT model, substr(md5(concat_ws('|', coalesce(provider, ''), coalesce(model, ''))), 1, 12) config_hash, count(*) n FROM usage_log GROUP BY provider, model")
@@ -324,12 +326,12 @@ def escaped_titles(s, d):
 
 @query("SELECT crawl_id, CAST(pos AS INT) pos, CAST(row_number() OVER (ORDER BY crawl_id, pos) AS BIGINT) img_no, i.url url FROM (SELECT crawl_id, unnest(images) i, generate_subscripts(images, 1) - 1 pos FROM (SELECT crawl_id, any_value(images) images FROM crawl_results GROUP BY 1))")
 def image_numbers(s, d):
-    return reports.number_images(corpus.once(table(s, d, "crawl_results"), "crawl_id"), "crawl_id", "images")
+    return reports.number_images(first(s, d, "crawl_results", images=F.col("images")), "crawl_id", "images")
 
 
 @query()
 def image_types(s, d):
-    t = corpus.once(table(s, d, "crawl_results"), "crawl_id").select(F.explode("images").alias("i"))
+    t = first(s, d, "crawl_results", images=F.col("images")).select(F.explode("images").alias("i"))
     return t.groupBy(T.image_ext(F.coalesce("i.url", F.lit(""))).alias("ext")).agg(F.count(F.lit(1)).alias("n"))
 
 

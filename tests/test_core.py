@@ -137,7 +137,7 @@ def test_text_clusters_searches_the_whole_range(spark, monkeypatch, tmp_path):
     from papyra.plans import queries
 
     d = spark.createDataFrame([(i, f"the topic{i % 8}x topic{i % 8}y") for i in range(16)], "file_id long, body string")
-    d.write.parquet(f"{tmp_path}/corpus_docs.parquet")
+    d.withColumn("ingested_at", F.current_timestamp()).write.parquet(f"{tmp_path}/corpus_docs.parquet")
     run = queries.cluster.clusters
     monkeypatch.setattr(queries.cluster, "clusters", lambda *a, **k: run(*a, **({"k_min": 7, "inits": 2} | k)))
     got = {r.file_id: r.cluster for r in queries.text_clusters(spark, str(tmp_path)).collect()}
@@ -158,13 +158,13 @@ def test_whole_texts_through_citation_and_html_queries(spark, tmp_path):
     from papyra.plans import queries
 
     texts = ["见图\u3000[1]，再见 [３]。", "a “quote”\u00a0[3] é\x1d[2]", "plain [1]\nline\u2003 two", "日本語\u3000\u3000本文\n\u2028終わり", None]
-    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "finding_id long, answer string").write.parquet(f"{tmp_path}/research_findings.parquet")
-    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "crawl_id long, text string").write.parquet(f"{tmp_path}/crawl_results.parquet")
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "finding_id long, answer string").withColumn("created_at", F.current_timestamp()).write.parquet(f"{tmp_path}/research_findings.parquet")
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "crawl_id long, text string").withColumn("crawled_at", F.current_timestamp()).write.parquet(f"{tmp_path}/crawl_results.parquet")
     md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
     want = {i: (md5(re.sub(r"\s*\[\d+\]", "", t)), md5(t.replace("[1]", "[1 待验证]").replace("[3]", "[3 待验证]"))) for i, t in enumerate(texts) if t is not None}
-    assert {r.finding_id: (r.stripped_md5, r.marked_md5) for r in queries.citation_marks_whole(spark, str(tmp_path)).collect()} == want
+    assert {r.finding_id: (r.stripped_md5, r.marked_md5) for r in queries.citation_marks(spark, str(tmp_path)).collect()} == want
     pages = {i: md5(re.sub(r"\s+", " ", re.sub(r"<[^>]+>", " ", "<p>" + t.replace("\n", "</p><p>") + "</p>")).strip()) for i, t in enumerate(texts) if t is not None}
-    assert {r.crawl_id: r.text_md5 for r in queries.html_import_whole(spark, str(tmp_path)).collect()} == pages
+    assert {r.crawl_id: r.text_md5 for r in queries.html_import(spark, str(tmp_path)).collect()} == pages
 
 
 def test_external_calls_each_prompt_once(spark):
