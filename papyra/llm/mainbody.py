@@ -253,12 +253,6 @@ def _judge(weights: bytes, common: frozenset[int]):
     return run
 
 
-def _rare(paths: DataFrame, least: int) -> DataFrame:
-    """The paths of few pages, one row a site: they matter to its mean only."""
-    few = paths.where((F.col("n") < least - 1) & (F.col("ends") > 0)).groupBy("host").agg(F.sum("n").alias("n"), F.sum("letters").alias("letters"), F.sum("ends").alias("ends"), F.sum(F.col("n") * F.col("ratio")).alias("mass"))
-    return few.select("host", F.lit(None).cast("long").alias("path"), "n", "letters", "ends", (F.col("mass") / F.col("n")).alias("ratio"))
-
-
 def page_frames(pages: DataFrame, key: str = "crawl_id", url: str = "url", text: str = "text", arrived: str = "crawled_at", share: float = 0.25, least: int = 4, spread_share: float = 0.002, rich: float = 1.25, sample: int = 2500, salts: int = 16) -> DataFrame:
     """(key, lines array<int>): the numbers of the lines of each page that are not main body. ``sample`` bounds the pages the classifier is fitted on."""
     host = F.regexp_replace(F.lower(F.regexp_extract(url, r"(?i)^(?:https?://)?([^/?#:]*)", 1)), r"^(?:www\d?|m|amp)\.", "")
@@ -266,18 +260,18 @@ def page_frames(pages: DataFrame, key: str = "crawl_id", url: str = "url", text:
     src = spread(src, "id")
     rows = src.select("id", "host", "text").mapInArrow(_paths, "id long, host string, path long, letters int, ends int").dropDuplicates(["host", "path", "id"])
     n, per_line = F.col("n"), F.sqrt(F.col("letters") / F.col("n") * F.col("ends") / F.col("n"))
-    paths = rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("letters").alias("letters"), F.sum("ends").alias("ends")).withColumn("ratio", per_line)
-    paths = stored(paths.where(F.col("n") >= least - 1).unionByName(_rare(paths, least)), "paths")
+    paths = rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("letters").alias("letters"), F.sum("ends").alias("ends"))
+    paths = stored(paths, "paths").withColumn("ratio", per_line)
     texts = paths.where("ends > 0").groupBy("host").agg(F.sum(n * F.col("ratio")).alias("mass"), F.sum("n").alias("lines"))
     whole = texts.agg(F.coalesce(F.sum("mass") / F.sum("lines"), F.lit(0.0)).alias("m")).first().m
     level = (F.coalesce("mass", F.lit(0.0)) + 20 * whole) / (F.coalesce("lines", F.lit(0)) + 20)
     sites = src.select("host", "id").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages")).join(texts, "host", "left").withColumn("cut", rich * level)
     smooth = (n * F.col("ratio") + 2 * F.col("cut")) / (n + 2)
-    often = paths.where(F.col("path").isNotNull()).join(sites.where(F.col("pages") >= least), "host").where((n >= F.col("pages") * share) & (smooth < F.col("cut")))
+    often = paths.where(n >= least - 1).join(sites.where(F.col("pages") >= least), "host").where((n >= F.col("pages") * share) & (smooth < F.col("cut")))
     frames = stored(often.groupBy("host").agg(F.collect_list("path").alias("frame")), "frames")
     total = max(1, src.count())
     # a page prints some 25 lines, so at most 25 / 0.002 paths can be on that share of all pages, whatever their number
-    everywhere = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.sum("letters").alias("letters"), F.sum("ends").alias("ends")).where((n >= max(3.0, spread_share * total)) & (per_line < rich * whole))
+    everywhere = paths.groupBy("path").agg(*[F.sum(c).alias(c) for c in ("n", "letters", "ends")]).where((n >= max(3.0, spread_share * total)) & (per_line < rich * whole))
     common = frozenset(r.path for r in everywhere.select("path").collect())
     picked = src.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(min(1.0, sample / total) * (1 << 30))).join(frames, "host")
     w = fit([(r.text, set(r.frame)) for r in picked.select("id", "text", "frame").sort("id").limit(2 * sample).collect()])
