@@ -20,7 +20,12 @@ BOILERPLATE = [
 ]
 # Hosts of chat exports.
 PLATFORMS = {"chatgpt": r"chatgpt\.com|chat\.openai\.com", "gemini": r"gemini\.google\.com|g\.co/gemini", "perplexity": r"perplexity\.ai"}
-CHAPTER = r"(?m)^#{1,2}\s+(?:[一二三四五六七八九十]+、|\d+\.\s+|Chapter\s+\d+[.:]).+$"
+# Heading of a chapter; marks around the list of inventions; slug patterns and length.
+CHAPTER = r"(?md)^#{1,2}\s+(?:[一二三四五六七八九十]+、|\d+\.\s+|Chapter\s+\d+[.:]).+$"
+
+INVENTED_FROM = ["【幻觉清单】", "## 幻觉清单", "### 幻觉清单", "幻觉清单："]
+INVENTED_TO = ["【修改意见】", "【专家5】", "\n## 专家", "\n## 修改", "### 事实核查引用来源", "---\n\n### 事实核查引用来源"]
+SLUGS = (r"share/([a-zA-Z0-9_-]+)", r"([a-zA-Z0-9]{10,})")
 
 
 def strip(c: Column) -> Column:
@@ -37,12 +42,20 @@ def remove_boilerplate(c: Column) -> Column:
 
 
 def strip_meta_header(c: Column) -> Column:
-    """P7 for scattered statistics lines and rules."""
-    c = F.regexp_replace(c, r"(?m)^-\s*(?:有效文档|聚类数|压缩率|silhouette).*$", "")
-    c = F.regexp_replace(c, r"(?m)^={10,}\s*$", "")
+    """The report header of mode A up to the first chapter, that of mode B, scattered statistics lines, long rules."""
+    c = F.regexp_replace(c, r"(?s)\A(.*?)(?m:^)#\s*语料预处理报告.*?(?=(?m:^)## )", "$1")
+    c = F.regexp_replace(c, r"(?s)\A(.*?)(?m:^)#\s*知识图谱语料.*?\n(?=(?m:^)## |\n## )", "$1")
+    c = F.regexp_replace(c, r"(?md)^-\s*(?:有效文档|聚类数|压缩率|silhouette).*$", "")
+    c = F.regexp_replace(c, r"(?md)^={10,}\s*$", "")
     return strip(F.regexp_replace(c, r"\n{3,}", "\n\n"))
 
 
+def published_date(c: Column) -> Column:
+    """The first of four formats that reads the whole text, else null. ``operators.timestamps`` reads many more and settles zones."""
+    c = strip(c)
+    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in ("yyyy-M-d", "yyyy-M-d'T'H:m:s", "MMMM d, yyyy", "d MMMM yyyy")])
+
+
 def lines_normalised(c: Column) -> Column:
     """Non-empty stripped lines, a blank line between each two."""
     return F.array_join(F.filter(F.transform(F.split(c, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"), strip), lambda x: x != ""), "\n\n")
@@ -72,7 +85,7 @@ def detect_source(c: Column) -> Column:
 
 def slug(c: Column, platform: Column) -> Column:
     """F15."""
-    share, run = (F.nullif(F.substring(F.regexp_extract(c, p, 1), 1, 30), F.lit("")) for p in (r"share/([a-zA-Z0-9_-]+)", r"([a-zA-Z0-9]{10,})"))
+    share, run = (F.nullif(F.substring(F.regexp_extract(c, p, 1), 1, 30), F.lit("")) for p in SLUGS)
     return F.concat_ws("_", platform, F.coalesce(share, run, F.lit("import")))
 
 
@@ -88,7 +101,7 @@ def tokens(c: Column) -> Column:
 
 def sentences(c: Column, least: int = 20) -> Column:
     """F1 and P12."""
-    return F.filter(F.transform(F.split(c, r"(?<=[.!?。！？])\s+"), strip), lambda x: F.length(x) > least)
+    return F.filter(F.transform(F.split(c, r"(?U)(?<=[.!?。！？])[\s\x1c-\x1f]+"), strip), lambda x: F.length(x) > least)
 
 
 def shingles(c: Column, k: int = 5) -> Column:
@@ -117,9 +130,18 @@ def mark_unverified(c: Column, numbers: list[int]) -> Column:
     return c
 
 
-def references(cites: Column) -> Column:
-    """F13, numbered style: one line per citation (url, title)."""
-    line = lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), F.coalesce(x["title"], x["url"], F.lit("")), F.lit(". "), F.coalesce(x["url"], F.lit("")))
+def references(cites: Column, author_year: bool = False) -> Column:
+    """one line per citation (url, title); with ``author_year`` also author and year where there are any."""
+    said = lambda x: F.concat(F.coalesce(x["title"], x["url"], F.lit("")), F.lit(". "), F.coalesce(x["url"], F.lit("")))
+
+    def line(x: Column, i: Column) -> Column:
+        number = F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "))
+        if not author_year:
+            return F.concat(number, said(x))
+        author, year = F.nullif(x["author"], F.lit("")), F.nullif(x["year"], F.lit(""))
+        who = F.concat(F.coalesce(author, F.lit("Unknown")), F.coalesce(F.concat(F.lit(" ("), year, F.lit(")")), F.lit("")), F.lit(". "))
+        return F.concat(number, F.when(author.isNotNull() | year.isNotNull(), who).otherwise(""), said(x))
+
     return F.concat_ws("\n", F.lit("## References\n"), F.transform(cites, line))
 
 
@@ -153,6 +175,16 @@ def image_ext(url: Column) -> Column:
     return F.concat(F.lit("."), F.when(e == "", "png").otherwise(e))
 
 
+def image_ext_of(content_type: Column, data: Column) -> Column:
+    """The extension of an image by its content type, else by its first bytes, .png where neither tells."""
+    kind = F.lower(F.coalesce(content_type, F.lit("")))
+    out = F.when(kind.contains("png"), ".png")
+    for name, ext in (("jpeg", ".jpg"), ("jpg", ".jpg"), ("gif", ".gif"), ("webp", ".webp"), ("bmp", ".bmp"), ("tif", ".tiff"), ("emf", ".emf"), ("wmf", ".wmf")):
+        out = out.when(kind.contains(name), ext)
+    head = F.hex(F.substring(data, 1, 12))
+    return out.when(head.startswith("89504E470D0A1A0A"), ".png").when(head.startswith("FFD8"), ".jpg").when(head.startswith("47494638"), ".gif").when(head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250"), ".webp").otherwise(".png")
+
+
 def math_count(c: Column) -> Column:
     """Mathematical letters and operators."""
     return F.length(c) - F.length(F.regexp_replace(c, r"[\x{2200}-\x{22FF}\x{1D400}-\x{1D7FF}\x{2070}-\x{209F}]", ""))
@@ -162,18 +194,18 @@ def block_kind(line: Column) -> Column:
     """F22 for one line."""
     s = F.trim(line)
     return (
-        F.when(s == "", "blank").when(s.rlike(r"^#{1,6}\s+"), "heading").when(s.rlike(r"(?d)^(-{3,}|\*{3,}|_{3,})$"), "rule").when(s.rlike(r"^```"), "fence").when(s.rlike(r"^\[\^[^\]]+\]:"), "footnote")
+        F.when(s == "", "blank").when(s.rlike(r"^#{1,6}\s+"), "heading").when(s.rlike(r"(?d)^(-{3,}|\*{3,}|_{3,})$"), "rule").when(s.rlike(r"^```"), "fence").when(s.rlike(r"^\[\^[^\]]+\]:"), "footnote").when(s.rlike(r"(?d)^!\[[^\]]*\]\([^)]+\)$"), "image").when(s.rlike(r"(?d)^\$\$(.+\$\$)?$|^\\\[(.+\\\])?$|^\\\]$"), "math")
         .when(s.rlike(r"(?d)^\|.*\|$"), "table").when(s.rlike(r"^[-*+]\s+"), "bullet").when(s.rlike(r"^\d+\.\s+"), "numbered").when(s.rlike(r"^>"), "quote").otherwise("text")
     )
 
 
 def hallucination_section(c: Column) -> Column:
     """from the first of the start marks found to the earliest end mark."""
-    starts = ["【幻觉清单】", "## 幻觉清单", "### 幻觉清单", "幻觉清单："]
+    starts = INVENTED_FROM
     part = F.lit(None).cast("string")
     for m in reversed(starts):
         part = F.when(F.instr(c, m) > 0, F.substring_index(F.substr(c, F.instr(c, m) + len(m)), "\0", 1)).otherwise(part)
     part = F.trim(part)
-    for e in ["【修改意见】", "【专家5】", "\n## 专家", "\n## 修改", "### 事实核查引用来源", "---\n\n### 事实核查引用来源"]:
+    for e in INVENTED_TO:
         part = F.substring_index(part, e, 1)
     return F.coalesce(strip(part), F.when(c.contains("未发现虚构"), "未发现虚构内容。"), F.lit(""))

@@ -36,6 +36,17 @@ def chunks(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
     return d.select(key, F.posexplode(F.transform(F.sequence(F.lit(1), F.length("_t"), F.lit(size)), lambda i: F.substr("_t", i, F.lit(size)))).alias("chunk_ord", "chunk"))
 
 
+def section_windows(df: DataFrame, key: str, text: str, sections: str, size: int) -> DataFrame:
+    """F16: (key, window, start, part): up to four sections and a text within ``size`` are one window; above four sections
+    each has its own, half a window further on; else windows follow each other. Blank windows are left out, or begin at 0 if a section's."""
+    n, t = F.length("_t"), F.col("_t")
+    many = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda j: F.least(j * (size - size // 2), F.greatest(F.lit(0), n - size)))
+    row = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(size))
+    starts = F.when((n <= size) & (F.col("_n") <= 4), F.array(F.lit(0))).when(F.col("_n") > 4, many).otherwise(row)
+    d = df.where(F.length(text) > 0).select(key, F.col(text).alias("_t"), F.col(sections).cast("int").alias("_n"))
+    return d.select(key, "_t", F.posexplode(starts).alias("window", "start")).select(key, "window", "start", F.substr("_t", F.col("start") + 1, F.lit(size)).alias("part"))
+
+
 def slices(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
     """(key, i, part): n parts that cut the text proportionally."""
     d = df.select(key, F.col(text).alias("_t"), F.length(text).cast("long").alias("_l"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))

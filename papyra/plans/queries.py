@@ -40,6 +40,8 @@ def first(s: SparkSession, d: str, name: str, **columns) -> DataFrame:
     return corpus.first_delivery(table(s, d, name), *ARRIVED[name], **columns)
 
 
+#: White space of Unicode, as a class that RE2 knows.
+_WS = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 _DOCS = "(SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY ingested_at) rn FROM corpus_docs) WHERE rn = 1)"
 _FOUND = "(SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY finding_id ORDER BY created_at) rn FROM research_findings) WHERE rn = 1)"
 _STATUS = "(SELECT f filename, arg_max(st, line_id) status FROM (SELECT trim(filename) f, lower(trim(status)) st, line_id FROM file_index WHERE status IS NOT NULL OR true) GROUP BY f)"
@@ -88,7 +90,38 @@ def source_labels(s, d):
     return first(s, d, "corpus_docs", label=T.source_label(F.col("source"), F.col("published"), F.col("filename")))
 
 
-@query()
+def _re2(pattern: str) -> str:
+    """A clean-up pattern in RE2's terms: white space and word characters as Unicode classes."""
+    blank, out, inside = _WS[1:-1], "", False
+    i = 0
+    while i < len(pattern):
+        two = pattern[i : i + 2]
+        if two == r"\s":
+            out += blank if inside else _WS
+        elif two == r"\S":
+            out += "[^" + blank + "]"
+        elif two == r"\w":
+            out += r"[\p{L}\p{N}_]"
+        elif two == r"\d":
+            out += r"\d"
+        elif two[0] == "\\":
+            out += two
+        else:
+            inside = inside or two[0] == "["
+            inside = inside and two[0] != "]"
+            out += two[0]
+            i -= 1
+        i += 2
+    return out.replace("'", "''")
+
+
+def _cleaned(column: str) -> str:
+    for p in [*("(?i)" + _re2(x) for x in T.BOILERPLATE)]:
+        column = f"regexp_replace({column}, '{p}', '', 'g')"
+    return f"regexp_replace(regexp_replace(regexp_replace({column}, '\\n{{4,}}', chr(10) || chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+@query(f"SELECT file_id, md5(t) clean_md5, CAST(length(t) AS INT) clean_len FROM (SELECT file_id, {_cleaned('body')} t FROM {_DOCS})")
 def boilerplate(s, d):
     x = table(s, d, "corpus_docs").select("file_id", "ingested_at", T.remove_boilerplate(F.col("body")).alias("t"))
     return corpus.first_delivery(x, "file_id", "ingested_at", clean_md5=F.md5("t"), clean_len=F.length("t"))
@@ -160,14 +193,14 @@ def relevance(s, d):
     return rank.relevance(docs(s, d))
 
 
-@query()
+@query(f"{_REL} SELECT source, CAST(r AS INT) AS rank, file_id, score FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, file_id) r FROM s) WHERE r <= 3")
 def relevance_top(s, d):
     x = docs(s, d)
     scored = rank.relevance(x).join(x.select("file_id", "source"), "file_id")
     return corpus.group_top(scored, "source", [F.desc("score"), F.col("file_id")], 3).select("source", "rank", "file_id", "score")
 
 
-@query()
+@query(f"SELECT file_id, CAST(len(list_filter(list_transform(string_split(regexp_replace(coalesce(body, ''), '([.!?。！？]){_WS}+', '\\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^{_WS}+|{_WS}+$', '', 'g')), lambda x: length(x) > 20)) AS INT) n_sentences FROM {_DOCS}")
 def sentence_counts(s, d):
     return first(s, d, "corpus_docs", n_sentences=F.size(T.sentences(F.coalesce("body", F.lit("")))))
 
@@ -182,10 +215,6 @@ def text_clusters(s, d):
     return cluster.clusters(docs(s, d), "file_id", "body")
 
 
-#: White space of Unicode, as a class that RE2 knows.
-_WS = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
-
-
 @query(f"SELECT crawl_id, md5(trim(regexp_replace(regexp_replace(concat('<p>', replace(text, chr(10), '</p><p>'), '</p>'), '<[^>]+>', ' ', 'g'), '{_WS}+', ' ', 'g'), ' ')) text_md5 FROM (SELECT crawl_id, any_value(text) AS text FROM crawl_results GROUP BY 1) WHERE text IS NOT NULL")
 def html_import(s, d):
     page = F.concat(F.lit("<p>"), F.replace("text", F.lit("\n"), F.lit("</p><p>")), F.lit("</p>"))
@@ -205,16 +234,6 @@ def transcripts(s, d):
     return reports.transcript(turns, "finding_id", "turn", "role", "text")
 
 
-@query()
-def chapter_rows(s, d):
-    return reports.chapters(table(s, d, "documents"), "doc_id", "text")
-
-
-@query()
-def chapter_contexts(s, d):
-    return reports.contexts(chapter_rows(s, d), "doc_id")
-
-
 @query("WITH e AS (SELECT *, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) THEN 1 ELSE 0 END ch FROM events), i AS (SELECT *, sum(ch) OVER (PARTITION BY user_id ORDER BY event_id) island FROM e) SELECT user_id, CAST(island AS BIGINT) island, any_value(event_type) event_type, count(*) parts, string_agg(CAST(event_id AS VARCHAR), '+' ORDER BY event_id) body FROM i GROUP BY user_id, island")
 def merge_adjacent(s, d):
     e = table(s, d, "events").select("user_id", "event_id", "event_type", F.col("event_id").cast("string").alias("part"))
@@ -313,7 +332,7 @@ def compression_targets(s, d):
     return table(s, d, "documents").where("text IS NOT NULL").select("doc_id", *[c.cast("long").alias(k) for k, c in reports.compression_targets(F.length("text")).items()])
 
 
-@query("SELECT kind, count(*) n FROM (SELECT CASE WHEN l = '' THEN 'blank' WHEN regexp_matches(l, '^#{1,6}\\s+') THEN 'heading' WHEN regexp_matches(l, '^(-{3,}|\\*{3,}|_{3,})$') THEN 'rule' WHEN starts_with(l, '```') THEN 'fence' WHEN regexp_matches(l, '^\\[\\^[^\\]]+\\]:') THEN 'footnote' WHEN regexp_matches(l, '^\\|.*\\|$') THEN 'table' WHEN regexp_matches(l, '^[-*+]\\s+') THEN 'bullet' WHEN regexp_matches(l, '^\\d+\\.\\s+') THEN 'numbered' WHEN starts_with(l, '>') THEN 'quote' ELSE 'text' END kind FROM (SELECT trim(unnest(string_split(text, chr(10))), ' ') l FROM documents WHERE text IS NOT NULL)) GROUP BY 1")
+@query("SELECT kind, count(*) n FROM (SELECT CASE WHEN l = '' THEN 'blank' WHEN regexp_matches(l, '^#{1,6}\\s+') THEN 'heading' WHEN regexp_matches(l, '^(-{3,}|\\*{3,}|_{3,})$') THEN 'rule' WHEN starts_with(l, '```') THEN 'fence' WHEN regexp_matches(l, '^\\[\\^[^\\]]+\\]:') THEN 'footnote' WHEN regexp_matches(l, '^!\\[[^\\]]*\\]\\([^)]+\\)$') THEN 'image' WHEN regexp_matches(l, '^\\$\\$(.+\\$\\$)?$|^\\\\\\[(.+\\\\\\])?$|^\\\\\\]$') THEN 'math' WHEN regexp_matches(l, '^\\|.*\\|$') THEN 'table' WHEN regexp_matches(l, '^[-*+]\\s+') THEN 'bullet' WHEN regexp_matches(l, '^\\d+\\.\\s+') THEN 'numbered' WHEN starts_with(l, '>') THEN 'quote' ELSE 'text' END kind FROM (SELECT trim(unnest(string_split(text, chr(10))), ' ') l FROM documents WHERE text IS NOT NULL)) GROUP BY 1")
 def block_kinds(s, d):
     lines = table(s, d, "documents").where("text IS NOT NULL").select(F.explode(F.split("text", "\n")).alias("l"))
     return lines.groupBy(T.block_kind(F.col("l")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
@@ -329,7 +348,7 @@ def image_numbers(s, d):
     return reports.number_images(first(s, d, "crawl_results", images=F.col("images")), "crawl_id", "images")
 
 
-@query()
+@query("SELECT '.' || coalesce(nullif(regexp_extract(lower(coalesce(i.url, '')), '\\.(png|jpe?g|gif|webp|svg|bmp)(?:[?#].*)?$', 1), ''), 'png') ext, count(*) n FROM (SELECT unnest(images) i FROM (SELECT any_value(images) images FROM crawl_results GROUP BY crawl_id)) GROUP BY 1")
 def image_types(s, d):
     t = first(s, d, "crawl_results", images=F.col("images")).select(F.explode("images").alias("i"))
     return t.groupBy(T.image_ext(F.coalesce("i.url", F.lit(""))).alias("ext")).agg(F.count(F.lit(1)).alias("n"))
@@ -363,7 +382,7 @@ def relation_counts(s, d):
     return graph.relation_counts(pair.select(F.col("name").alias("subject"), F.lit("with").alias("predicate"), "object"))
 
 
-@query()
+@query(f"SELECT file_id, CAST(para_ord AS INT) para_ord, CAST(hits AS INT) hits, substr(para, 1, 500) para FROM (SELECT p.file_id, p.para_ord, any_value(para) para, count(*) hits FROM {_PARAS} p, (SELECT name FROM {_MENT} GROUP BY 1 ORDER BY count(*) DESC, name LIMIT 20) t WHERE length(para) > 80 AND contains(para, t.name) GROUP BY 1, 2) WHERE hits >= 2 ORDER BY hits DESC, file_id, para_ord LIMIT 50")
 def evidence_paragraphs(s, d):
     top = [r.name for r in entity_counts(s, d).orderBy(F.desc("mentions"), "name").limit(20).collect()]
     return graph.evidence(corpus.paragraphs(docs(s, d)), top)
@@ -390,8 +409,11 @@ def flagship(s: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
+    from papyra.plans import report_queries  # noqa: F401  registers its queries
+
     return dict(Q)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)
