@@ -61,15 +61,21 @@ def dedup_paragraphs(docs: DataFrame, least: int = 100) -> DataFrame:
     return docs.select("file_id").join(bodies, "file_id", "left").select("file_id", F.coalesce(F.array_join(F.transform("ps", lambda x: x["para"]), "\n\n"), F.lit("")).alias("body"))
 
 
-def preprocess(docs: DataFrame, index: DataFrame, min_chars: int = 500) -> DataFrame:
-    """E1 with branch A: (file_id, raw_len, body, score, cluster, summary).
-
-    Status, length of the raw body, clean-up, exact, near and paragraph deduplication, relevance, then groups and
-    summaries of what is left; statistics lines go from the summaries (P7)."""
+def reduced(docs: DataFrame, index: DataFrame, min_chars: int = 500) -> DataFrame:
+    """E1 without its branches: (file_id, raw_len, body): status, length of the raw body, exact deduplication on the raw body,
+    clean-up, near and paragraph deduplication."""
     d = filter_status(with_fields(docs), index).where(F.col("raw_len") >= min_chars)
     d = stored(dedup_exact(d).select("file_id", "raw_len", T.remove_boilerplate(F.col("body")).alias("body")), "cleaned")
     d = d.join(firstkept.kept_first(d).where("kept").select("file_id"), "file_id", "left_semi")
-    d = stored(d.select("file_id", "raw_len").join(dedup_paragraphs(d), "file_id"), "deduped")
+    return stored(d.select("file_id", "raw_len").join(dedup_paragraphs(d), "file_id"), "deduped")
+
+
+def preprocess(docs: DataFrame, index: DataFrame, min_chars: int = 500) -> DataFrame:
+    """E1 with branch A: (file_id, raw_len, body, score, cluster, summary).
+
+    ``reduced`` documents with relevance, group and summary; statistics lines go from the summaries (P7). The texts of modes A,
+    B and both are those of ``modes.mode_text``."""
+    d = reduced(docs, index, min_chars)
     short = rank.summaries(d, "file_id", "body").select("file_id", T.strip_meta_header(F.col("summary")).alias("summary"))
     return d.join(rank.relevance(d), "file_id").join(cluster.clusters(d, "file_id", "body"), "file_id").join(short, "file_id")
 
@@ -80,10 +86,18 @@ def stats(df: DataFrame, before: str, after: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("documents"), a.alias("chars_in"), b.alias("chars_out"), F.round((1 - b / a) * 100, 4).alias("compression_pct"))
 
 
-def concat_by(df: DataFrame, group: str, name: str, body: str) -> DataFrame:
-    """K8: the texts of a group behind separators, by name. One row holds a whole group: meant for corpora by folder."""
-    part = F.concat(F.lit("--- 来自文件: "), F.coalesce(name, F.lit("")), F.lit(" ---\n"), F.coalesce(body, F.lit("")))
-    return df.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(F.col(name).alias("n"), part.alias("p")))).alias("l")).select(group, F.array_join(F.transform("l", lambda x: x["p"]), "\n\n").alias("corpus"))
+def corpus_parts(df: DataFrame, group: str, name: str, body: str) -> DataFrame:
+    """K8: (group, ord, text): the texts of a group behind separators, numbered by name and text. Groups may be of any size: parts
+    stay rows, and ``sinks.write_corpus`` writes them in order. Places are counted in ranges of names, not by one task a group."""
+    part = F.concat(F.lit("--- 来自文件: "), F.coalesce(name, F.lit("")), F.lit(" ---\n\n"), F.coalesce(body, F.lit("")))
+    d = df.select(F.col(group).alias("group"), F.coalesce(name, F.lit("")).alias("n"), part.alias("text")).withColumn("h", F.md5("text"))
+    w = Window.partitionBy("group", "b")
+    d = d.withColumn("b", F.substring("n", 1, 8))  # names that begin alike are numbered by one task
+    sizes = d.groupBy("group", "b").agg(F.count(F.lit(1)).alias("k"))
+    start = sizes.withColumn("start", F.coalesce(F.sum("k").over(Window.partitionBy("group").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    at = d.withColumn("r", F.row_number().over(w.orderBy("n", "h")))
+    same = (F.col("x.group").eqNullSafe(F.col("s.group"))) & (F.col("x.b") == F.col("s.b"))
+    return at.alias("x").join(start.alias("s"), same).select(F.col("x.group").alias(group), (F.col("s.start") + F.col("x.r") - 1).alias("ord"), "x.text")
 
 
 def group_top(df: DataFrame, group: str, order: list, n: int) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -18,14 +19,29 @@ def stub() -> Callable[[str], str]:
     return lambda prompt: "stub:" + hashlib.md5(prompt.encode()).hexdigest()
 
 
-def with_retry(call: Callable[[str], str], attempts: int = 3) -> Callable[[str], str]:
+# Answers of a server after which a call is worth another try; seconds between tries.
+RETRY_CODES = (429, 500, 502, 503, 504)
+WAIT, WAIT_MOST = 2.0, 16.0
+
+
+def is_retryable(e: BaseException) -> bool:
+    """Timeouts, lost connections, and errors that carry one of the codes, as ``status_code`` or in "API <code>"."""
+    if isinstance(e, (TimeoutError, ConnectionError)) or type(e).__name__ in ("TimeoutException", "ConnectError", "APITimeoutError", "APIConnectionError"):
+        return True
+    return getattr(e, "status_code", None) in RETRY_CODES or isinstance(e, RuntimeError) and any(f"API {c}" in str(e) for c in RETRY_CODES)
+
+
+def with_retry(call: Callable[[str], str], attempts: int = 3, sleep: Callable[[float], None] = time.sleep) -> Callable[[str], str]:
+    """Up to ``attempts`` tries, waits doubling from two to sixteen seconds."""
+
     def run(prompt: str) -> str:
         for i in range(attempts):
             try:
                 return call(prompt)
-            except (TimeoutError, ConnectionError):
-                if i == attempts - 1:
+            except Exception as e:
+                if i == attempts - 1 or not is_retryable(e):
                     raise
+                sleep(min(WAIT_MOST, WAIT * 2**i))
         return ""
 
     return run

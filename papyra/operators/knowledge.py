@@ -41,6 +41,39 @@ def by_dictionary(names: dict[str, str], verbs: tuple[str, ...] = ()) -> Recogni
     return make
 
 
+# What the pattern recogniser goes by, in order of precedence.
+PATTERNS = [
+    ("ORG", r"(?:[A-Z][\w’'&-]+ ){1,3}(?:Institute|Council|Energy|Holdings|Grid|Partners|Works|Observatory|Agency|Ministry|University|Bank|Company|Group|Gruppe|Werke|Netze|Institut|Instituto|Grupo|Conseil|Groupe)\b|[\u4e00-\u9fff]{2,6}?(?:集团|公司|委员会|研究院|智库|电力|能源|观察)|[\u30a0-\u30ff]{2,8}(?:機構|研究所|電力|エネルギー)"),
+    ("PERSON", r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Sr|Sra|M|Mme)\.? [A-ZÀ-Þ][\w-]+(?: [A-ZÀ-Þ][\w-]+)?"),
+    ("DATE", r"\b(?:19|20)\d\d-\d\d-\d\d\b|(?:19|20)\d\d\s?年(?:\d{1,2}月)?(?:\d{1,2}日)?|\b(?:19|20)\d\d\b"),
+    ("QUANTITY", r"\d[\d.,]*\s?(?:%|percent\b|MW\b|GW\b|GWh\b|hours\b|tonnes\b|kilometres\b|households\b|million \w+|万户|亿元|公里|兆瓦|吉瓦|小时|万吨|台套|个百分点)"),
+    ("GPE", r"(?:(?<=\bin )|(?<=\bat )|(?<=\bIn )|(?<=\ben )|(?<=\bà )|(?<=\bem ))[A-ZÀ-Þ][a-zß-ÿ]+"),
+]
+
+
+def by_patterns() -> Recogniser:
+    """A recogniser by patterns of names, dates and quantities; two entities of a sentence with a verb form between them are related by it."""
+
+    def make():
+        import re
+
+        any_ = re.compile("|".join(f"(?P<{k}>{v})" for k, v in PATTERNS))
+        verb = re.compile(r"\b(?:is|are|was|were|has|have|had|said|set|[a-z]{3,}(?:ed|es))\b")
+
+        def run(text: str):
+            ents = [(m.start(), m.end(), m.lastgroup) for m in any_.finditer(text)]
+            rels = []
+            for (a, b, _), (c, d, _) in zip(ents, ents[1:]):
+                between = text[b:c]
+                if len(between) < 120 and not re.search(r"[.!?。！？\n]", between) and (m := verb.search(between)):
+                    rels.append((text[a:b].strip(), m.group(), text[c:d].strip()))
+            return ents, rels
+
+        return run
+
+    return make
+
+
 def recognised(docs: DataFrame, recogniser: Recogniser, key: str = "file_id", text: str = "body") -> DataFrame:
     """M5, M6: (doc, pos, name, label, context, subject, predicate, object): a row per mention and per relation, by an injected recogniser.
     Labels are those of the report; names have two characters at least. The whole text is read."""

@@ -292,9 +292,9 @@ def citation_marks(s, d):
     return first(s, d, "research_findings", stripped_md5=F.md5(T.strip_citations(a)), marked_md5=F.md5(T.mark_unverified(a, [1, 3]))).where("stripped_md5 IS NOT NULL")
 
 
-@query(f"SELECT category, md5(string_agg('--- 来自文件: ' || coalesce(filename, '') || ' ---' || chr(10) || coalesce(body, ''), chr(10) || chr(10) ORDER BY filename NULLS FIRST, body NULLS FIRST)) corpus_md5 FROM {_DOCS} GROUP BY 1")
+@query(f"SELECT category, CAST(row_number() OVER (PARTITION BY category ORDER BY n, md5(t)) - 1 AS BIGINT) ord, md5(t) text_md5 FROM (SELECT category, coalesce(filename, '') n, '--- 来自文件: ' || coalesce(filename, '') || ' ---' || chr(10) || chr(10) || coalesce(body, '') t FROM {_DOCS})")
 def corpus_by_category(s, d):
-    return corpus.concat_by(docs(s, d), "category", "filename", "body").select("category", F.md5("corpus").alias("corpus_md5"))
+    return corpus.corpus_parts(docs(s, d), "category", "filename", "body").select("category", "ord", F.md5("text").alias("text_md5"))
 
 
 @query(f"SELECT count(*) documents, CAST(sum(length(body)) AS BIGINT) chars_in, CAST(sum(length(trim(body))) AS BIGINT) chars_out, round((1 - sum(length(trim(body))) / sum(length(body))) * 100, 4) compression_pct FROM {_DOCS}")

@@ -227,3 +227,42 @@ def math_counts(s, d):
 @query(f"SELECT crawl_id, md5(array_to_string(list_filter(list_transform(regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda x: {_STRIP('x')}), lambda x: x <> ''), chr(10) || chr(10))) text_md5 FROM (SELECT crawl_id, any_value(text) AS text FROM crawl_results GROUP BY 1) WHERE text IS NOT NULL")
 def normalised_lines(s, d):
     return first(s, d, "crawl_results", text_md5=F.md5(T.lines_normalised(F.col("text")))).where("text_md5 IS NOT NULL")
+
+
+def _found(s, d):
+    from papyra.operators.common import stored
+
+    return stored(knowledge.recognised(first(s, d, "corpus_docs", body=F.col("body")), knowledge.by_patterns()), "mentions")
+
+
+@query()
+def entity_details(s, d):
+    """Entities of the pattern recogniser with counts, documents and first contexts."""
+    return knowledge.entities(_found(s, d))
+
+
+@query()
+def entities_merged(s, d):
+    """Entities with their aliases folded in."""
+    m = _found(s, d).where("name IS NOT NULL")
+    return knowledge.merged(graph.entity_counts(m.select("doc", "pos", "name", "label")), m)
+
+
+@query()
+def relations_found(s, d):
+    return graph.relation_counts(_found(s, d).where("subject IS NOT NULL").select("subject", "predicate", "object"))
+
+
+@query()
+def formulas_converted(s, d):
+    from papyra.functions.mathtext import with_latex
+
+    return first(s, d, "crawl_results", m=with_latex(F.col("text"))).select("crawl_id", F.md5("m.text").alias("text_md5"), "m.formulas")
+
+
+@query()
+def expert_opinions(s, d):
+    """Opinions of every role on every document's text by the stub client."""
+    from papyra.operators import external, steps
+
+    return steps.experts(table(s, d, "documents"), "doc_id", "text", {"facts": "Check facts.", "style": "Judge the style."}, external.stub)[0]
