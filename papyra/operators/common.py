@@ -31,23 +31,40 @@ def latest(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
     return one.select(*keys, F.col("_m._t").alias(ts), *[F.col(f"_m.{c}").alias(c) for c in rest])
 
 
+_WRITTEN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a local master (tests) gets one of its own; a
+    cluster gets an error, as a machine's own folder would lose stages with the machine."""
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = "file://" + os.path.join(tempfile.gettempdir(), "papyra-shared")
-        spark.conf.set("spark.checkpoint.dir", d) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-    return d
+    if d:
+        return d
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return "file://" + os.path.join(tempfile.gettempdir(), "papyra-shared")
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write a stage to the shared folder and read it back: cuts lineage and survives the loss of an executor."""
+    """Write a stage to the shared folder and read it back: cuts lineage and survives the loss of an executor.
+
+    Results are lazy and read these folders, so they stay until ``release`` is called."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete the stages written so far, once their results are saved; how many there were."""
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Rows over all cores where the input has fewer files than there are cores.
 

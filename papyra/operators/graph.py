@@ -20,17 +20,17 @@ def relation_counts(triples: DataFrame, n: int = 100) -> DataFrame:
 
 
 def resolve(entities: DataFrame) -> DataFrame:
-    """Names folded into the first canonical name of the same label that contains them or lies in them, by falling count.
+    """Names folded into the first canonical name of the same label that contains them or lies in them, case aside, by falling count.
 
     Containments come from a join of the names with the pieces of all names. A name is canonical once all earlier
     names it meets are known not to be, and an alias once one of them is; rounds end when all names are decided."""
-    names = stored(entities.select("label", "name", "mentions"), "names")
-    sizes = sorted(r[0] for r in names.where("name IS NOT NULL").select(F.length("name")).distinct().collect())
-    cut = lambda k: F.transform(F.sequence(F.lit(1), F.length("name") - k + 1), lambda i: F.substr("name", i, F.lit(k)))
-    pieces = F.array_distinct(F.flatten(F.array(*[F.when(F.length("name") > k, cut(k)).otherwise(F.array().cast("array<string>")) for k in sizes or [0]])))
+    names = stored(entities.select("label", "name", "mentions", F.lower(F.trim("name")).alias("low")), "names")
+    sizes = sorted(r[0] for r in names.where("low IS NOT NULL").select(F.length("low")).distinct().collect())
+    cut = lambda k: F.transform(F.sequence(F.lit(1), F.length("low") - k + 1), lambda i: F.substr("low", i, F.lit(k)))
+    pieces = F.array_distinct(F.flatten(F.array(*[F.when(F.length("low") >= k, cut(k)).otherwise(F.array().cast("array<string>")) for k in sizes or [0]])))
     big = names.select(F.col("label").alias("l"), F.struct((-F.col("mentions")).alias("m"), "name").alias("a"), F.explode(pieces).alias("piece"))
-    meet = big.join(names, F.col("l").eqNullSafe(F.col("label")) & (F.col("piece") == F.col("name"))).select("label", "a", F.struct((-F.col("mentions")).alias("m"), "name").alias("b"))
-    meet = stored(meet.select("label", F.least("a", "b").alias("first"), F.greatest("a", "b").alias("then")), "meet")
+    meet = big.join(names, F.col("l").eqNullSafe(F.col("label")) & (F.col("piece") == F.col("low"))).select("label", "a", F.struct((-F.col("mentions")).alias("m"), "name").alias("b")).where("a.name <> b.name")
+    meet = stored(meet.select("label", F.least("a", "b").alias("first"), F.greatest("a", "b").alias("then")).distinct(), "meet")
     same = lambda x, y: F.col(x + ".label").eqNullSafe(F.col(y + ".label"))
     ends = meet.select("label", F.col("first.name").alias("name")).union(meet.select("label", "then.name")).distinct()
     state = stored(ends.withColumn("s", F.lit(0)), "state")  # 0 undecided, 1 canonical, 2 alias
@@ -44,6 +44,7 @@ def resolve(entities: DataFrame) -> DataFrame:
 
 
 def evidence(paras: DataFrame, names: list[str], least: int = 2, n: int = 50) -> DataFrame:
-    """Paragraphs that hold at least ``least`` of the names (at most twenty), the n richest first."""
-    hits = sum((F.col("para").contains(x).cast("int") for x in names), F.lit(0))
+    """Paragraphs that hold at least ``least`` of the names (at most twenty), case aside, the n richest first."""
+    low = F.lower("para")
+    hits = sum((low.contains(x).cast("int") for x in {n.lower() for n in names}), F.lit(0))
     return paras.where(F.length("para") > 80).withColumn("hits", hits).where(F.col("hits") >= least).orderBy(F.desc("hits"), "file_id", "para_ord").limit(n).select("file_id", "para_ord", "hits", F.substring("para", 1, 500).alias("para"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papyra.functions import text as T
+from papyra.operators.common import stored
 
 # Words that do not count.
 STOP = "a about above after again all also am an and any are as at be because been before being below between both but by can could did do does doing down during each few for from further had has have having he her here hers him his how i if in into is it its itself just me more most my no nor not now of off on once only or other our out over own same she should so some such than that the their them then there these they this those through to too under until up very was we were what when where which while who whom why will with you your".split()
@@ -25,17 +26,25 @@ def vocabulary(tf: DataFrame, n_docs: int, min_df: int = 2, max_df: float = 0.95
     return v.orderBy(F.desc("total"), "term").limit(size)
 
 
-def relevance(docs: DataFrame, key: str = "file_id", text: str = "body") -> DataFrame:
-    """M1: (key, score), the cosine of each text's normalised TF-IDF vector with the mean vector.
-
-    The vocabulary is at most 10,000 terms, so the join with it may be broadcast by size, and the
-    mean vector needs one row per term."""
+def weights(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """((key, term, u), vocabulary): normalised TF-IDF weights. Term counts are stored, as vocabulary and weights both need them;
+    the vocabulary is at most 10,000 terms, so the join with it may be broadcast by size."""
     n = docs.count()
-    tf = term_counts(docs, key, text)
-    voc = vocabulary(tf, n)
+    tf = stored(term_counts(docs, key, text), "terms")
+    voc = stored(vocabulary(tf, n), "vocabulary")
     w = tf.join(voc, "term").select(key, "term", (F.col("tf") * (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0)).alias("w"))
     norm = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unit = w.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("u"))
+    return w.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("u")), voc
+
+
+def relevance(docs: DataFrame, key: str = "file_id", text: str = "body") -> DataFrame:
+    """M1: (key, score), the cosine of each text's normalised TF-IDF vector with the mean vector, which has a row per term of the
+    vocabulary; texts without its terms have 0, and all texts 1 where the vocabulary is empty."""
+    n = docs.count()
+    w, voc = weights(docs, key, text)
+    if voc.isEmpty():
+        return docs.select(key, F.lit(1.0).alias("score"))
+    unit = stored(w, "weights")
     mean = unit.groupBy("term").agg((F.sum("u") / n).alias("c"))
     length = mean.agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("len"))
     dot = unit.join(mean, "term").groupBy(key).agg(F.sum(F.col("u") * F.col("c")).alias("dot"))

@@ -382,7 +382,7 @@ def relation_counts(s, d):
     return graph.relation_counts(pair.select(F.col("name").alias("subject"), F.lit("with").alias("predicate"), "object"))
 
 
-@query(f"SELECT file_id, CAST(para_ord AS INT) para_ord, CAST(hits AS INT) hits, substr(para, 1, 500) para FROM (SELECT p.file_id, p.para_ord, any_value(para) para, count(*) hits FROM {_PARAS} p, (SELECT name FROM {_MENT} GROUP BY 1 ORDER BY count(*) DESC, name LIMIT 20) t WHERE length(para) > 80 AND contains(para, t.name) GROUP BY 1, 2) WHERE hits >= 2 ORDER BY hits DESC, file_id, para_ord LIMIT 50")
+@query(f"SELECT file_id, CAST(para_ord AS INT) para_ord, CAST(hits AS INT) hits, substr(para, 1, 500) para FROM (SELECT p.file_id, p.para_ord, any_value(para) para, count(*) hits FROM {_PARAS} p, (SELECT DISTINCT lower(name) AS name FROM (SELECT name FROM {_MENT} GROUP BY 1 ORDER BY count(*) DESC, name LIMIT 20)) t WHERE length(para) > 80 AND contains(lower(para), t.name) GROUP BY 1, 2) WHERE hits >= 2 ORDER BY hits DESC, file_id, para_ord LIMIT 50")
 def evidence_paragraphs(s, d):
     top = [r.name for r in entity_counts(s, d).orderBy(F.desc("mentions"), "name").limit(20).collect()]
     return graph.evidence(corpus.paragraphs(docs(s, d)), top)

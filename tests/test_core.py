@@ -116,6 +116,7 @@ def test_chapters_contexts_and_chunks(spark):
 def test_resolve_aliases(spark):
     e = spark.createDataFrame([("Grid", "ORG", 5), ("Ulm Grid", "ORG", 3), ("Bank", "ORG", 1), ("Grid", "GPE", 1)], "name string, label string, mentions long")
     got = {(r.label, r.name): r.canonical for r in graph.resolve(e).collect()}
+    assert graph.resolve(spark.createDataFrame([("GRID a", "ORG", 5), ("grid", "ORG", 3), ("Grid", "ORG", 3)], "name string, label string, mentions long")).where("canonical = 'GRID a'").count() == 3
     assert got[("ORG", "Ulm Grid")] == "Grid" and got[("ORG", "Bank")] == "Bank" and got[("GPE", "Grid")] == "Grid"
 
 
@@ -190,3 +191,28 @@ def test_entry_without_text_subpackage():
 
     code = "import sys; sys.modules['papyra.llm'] = None\nimport importlib.util as u\nf = u.find_spec\nu.find_spec = lambda n, *a: None if n.startswith('papyra.llm') else f(n, *a)\nimport __spark_entry__ as e\nassert not [q for q in e.queries() if q[:3] in ('p1_', 'p7_')] and 'p4_found' in e.queries()"
     subprocess.run([sys.executable, "-c", code], check=True)
+
+
+def test_stages_are_shared_and_released(spark, tmp_path):
+    import os
+
+    from papyra.operators import common
+
+    common.release(spark)
+    d = common.stored(spark.range(3).toDF("id"), "x")
+    path = common._WRITTEN[-1]
+    assert d.count() == 3 and path.startswith(spark.conf.get("spark.checkpoint.dir"))
+    assert common.release(spark) == 1 and not os.path.exists(path.removeprefix("file://"))
+    s = type("S", (), {"conf": type("C", (), {"get": lambda *a: None})(), "sparkContext": type("X", (), {"master": "spark://h:7077"})()})()
+    with pytest.raises(ValueError):
+        common.shared_dir(s)
+
+
+def test_groups_of_plain_topics(spark):
+    from papyra.operators import cluster
+
+    d = spark.createDataFrame([(i, f"alpha{i % 4} beta{i % 4} gamma{i % 4} word") for i in range(40)] + [(100, None), (101, "")], "file_id long, body string")
+    got = {r.file_id: r.cluster for r in cluster.clusters(d, "file_id", "body", inits=3).collect()}
+    assert len(got) == 42 and len({got[i] for i in range(4)}) == 4 and all(got[i] == got[i % 4] for i in range(40))
+    assert {r.cluster for r in cluster.clusters(d.where("file_id < 3"), "file_id", "body").collect()} == {-1}
+    assert cluster.clusters(d.where("false"), "file_id", "body").count() == 0
