@@ -299,3 +299,17 @@ def test_pairs_know_the_language_of_keyword_queries():
     judge = lambda rows: [DEFECTS[int(s.argmax())] if s.max() > 0 else None for s in (x @ w[k] - limit for k, x in read.each(rows))]
     whole, bad = judge(pairs[:200]), judge(swapped)
     assert sum(d is not None for d in whole) <= 2 and sum(d == "language" for d in bad) >= 195
+
+
+def test_signs_are_learned_from_contexts(spark):
+    r, rows = random.Random(5), []
+    for i in range(60):
+        t = "".join(r.choice(["医院网络已经完成", "电价改革尚未开始", "风电项目再次延后", "年末储能容量增长", "城市电网调度改变"]) + "，" for _ in range(12))
+        if i % 9 == 0:
+            t = t.replace("网", "冈", 2).replace("电价", "甩价", 1)
+        rows.append((i, t, AT))
+    d = spark.createDataFrame(rows, "extract_id long, text string, extracted_at timestamp")
+    counts = d.select("text").mapInArrow(scans._counts, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    assert scans.learn_signs(counts) == {"冈": "网", "甩": "电"}
+    got = {x.extract_id: x for x in scans.read_scans(d).collect()}
+    assert all(([c.kind for c in got[i].cases] == ["ocr"]) == ("冈" in t) for i, t, _ in rows) and not any("冈" in x.repaired or "甩" in x.repaired for x in got.values())
