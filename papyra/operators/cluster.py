@@ -28,6 +28,12 @@ class Groups:
         self.c, self.spans = centres, spans
         self.norm = (centres * centres).sum(1)
 
+    def only(self, which: list[int]) -> tuple[Groups, np.ndarray]:
+        """Some of the clusterings, and the rows of their centres."""
+        rows = np.concatenate([np.arange(*self.spans[i]) for i in which])
+        at = np.cumsum([0, *(self.spans[i][1] - self.spans[i][0] for i in which)]).tolist()
+        return Groups(self.c[rows], list(zip(at, at[1:]))), rows
+
     def near(self, idx: np.ndarray, val: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(centre of each text in each clustering, squared distances to all centres); texts are parts of (idx, val) between cuts."""
         n = np.diff(cuts)
@@ -63,8 +69,8 @@ def _sums(g: Groups, terms: int):
         for _, _, _, idx, val, cuts in _parts(batches, 0):
             best, far = g.near(idx, val, cuts)
             row = np.repeat(np.arange(len(best)), np.diff(cuts))
-            for k in range(best.shape[1]):
-                np.add.at(total, best[row, k] * terms + idx, val)
+            for k, (a, z) in enumerate(g.spans):
+                total[a * terms : z * terms] += np.bincount((best[row, k] - a) * terms + idx, val, (z - a) * terms)
                 count += np.bincount(best[:, k], minlength=len(g.c))
                 error += np.bincount(best[:, k], far[np.arange(len(best)), best[:, k]], len(g.c))
         i = np.flatnonzero(total)
@@ -162,18 +168,19 @@ def clusters(docs: DataFrame, key: str, text: str, k_min: int = 3, k_max: int =
         spans.append((a, a + k))
     chosen = x.select("idx", "val", F.xxhash64("_key", F.lit(seed)).alias("h")).orderBy("h").limit(min(POOL, 40_000_000 // terms))
     g = Groups(_starts([(np.array(r.idx, np.int64), np.array(r.val, np.float32)) for r in chosen.collect()], terms, spans, seed), spans)
-    for _ in range(rounds):
-        total, count, error = _gathered(x, g, terms)
-        new = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], g.c).astype(np.float32)
-        moved = np.abs(new - g.c).max()
-        g = Groups(new, spans)
-        if moved < 1e-4:
+    error, going = np.zeros(len(g.c)), list(range(len(spans)))
+    for turn in range(rounds + 1):  # the last round only measures
+        part, rows = g.only(going)
+        total, count, error[rows] = _gathered(x, part, terms)
+        new = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], part.c).astype(np.float32)
+        moved = np.abs(new - part.c).max(1)
+        still = [i for i, (a, z) in zip(going, part.spans) if moved[a:z].max() >= 1e-4]
+        if not still or turn == rounds:
             break
-    _, _, error = _gathered(x, g, terms)
-    best = [min((s for s, k in zip(spans, ks) if k == want), key=lambda s: error[s[0] : s[1]].sum()) for want in sorted(set(ks))]
-    rows = np.concatenate([np.arange(a, z) for a, z in best])
-    at = np.cumsum([0, *(z - a for a, z in best)])
-    g = Groups(g.c[rows], list(zip(at[:-1].tolist(), at[1:].tolist())))
+        g.c[rows], going = new, still  # a clustering that stands still is left out of further rounds
+        g = Groups(g.c, spans)
+    best = [min((i for i, k in enumerate(ks) if k == want), key=lambda i: error[spans[i][0] : spans[i][1]].sum()) for want in sorted(set(ks))]
+    g, _ = g.only(best)
     _, size, error = _gathered(x, g, terms)
     s = x.select("idx", "val").mapInArrow(_silhouette(g, g.c, error / np.maximum(size, 1), size), "k long, s double").groupBy("k").agg(F.sum("s").alias("s")).collect()
     k = max(s, key=lambda r: (round(r.s / n, 9), -r.k)).k
