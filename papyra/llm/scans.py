@@ -7,7 +7,7 @@
   text itself and of the corpus.
 * Misread characters: a word is a misreading if a known confusion turns it into a word that is far
   more frequent (in the corpus, or in the text for names). For ideographs and kana the confusions
-  are learned: a sign nearly all of whose contexts belong to one other, far more frequent sign.
+  are learned: a sign nearly all of whose contexts belong to another, far more frequent sign.
 
 Corpus counts (words, three-sign contexts) cover all records, are summed map-side first, and stay in
 a stored table: each text is joined with the counts it asks for. Which tokens may be misreadings is
@@ -361,11 +361,10 @@ def repair_line(line: str, lex: Lexicon, own: Counter, before: str = "", after:
         off = len(before[-1:])
         chars = list(line)
         for i, c in enumerate(chars):
-            p = lex.signs.get(c)
-            if p and 0 < i + off < len(s) - 1:
+            if c in lex.signs and 0 < i + off < len(s) - 1:
                 a, b = s[i + off - 1], s[i + off + 1]
-                if lex.contexts.get(a + p + b, 0) >= 2 * lex.contexts.get(a + c + b, 0) > 0:
-                    chars[i] = p
+                least = 2 * lex.contexts.get(a + c + b, 0)
+                chars[i] = next((p for p in lex.signs[c] if lex.contexts.get(a + p + b, 0) >= least > 0), c)
         line = "".join(chars)
     return line
 
@@ -410,7 +409,7 @@ def asked(text: str, y: list[int], signs: dict[str, str], doubtful: np.ndarray,
             s = pre[-1:] + s + post[:1]
             for i in range(1, len(s) - 1):
                 if s[i] in signs:
-                    keys.update(("3" + s[i - 1 : i + 2], "3" + s[i - 1] + signs[s[i]] + s[i + 1]))
+                    keys.update("3" + s[i - 1] + c + s[i + 1] for c in s[i] + signs[s[i]])
     return keys
 
 
@@ -471,16 +470,16 @@ def read_text(text: str | None, y: list[int], lex: Lexicon) -> tuple[list[tuple[
 
 
 def learn_signs(counts: DataFrame, share: float = 0.7, times: int = 8) -> dict[str, str]:
-    """Signs that stand nearly always where one other, ``times`` as frequent sign belongs: c -> p. In a context (the signs on
-    both sides) a sign speaks for each of the five most frequent signs there that is three times as frequent. Of several
-    it is the one most of whose own occurrences are in such contexts. The driver gets one row a sign at most."""
+    """Signs that stand nearly always where others, ``times`` as frequent signs belong: c -> these, best first. In a context (the
+    signs on both sides) a sign speaks for every sign there that is three times as frequent, however many these are. The best
+    is the one most of whose own occurrences are in such contexts. The driver gets one row a sign at most."""
     c = counts.where("key LIKE '3%'").select(F.substring("key", 3, 1).alias("c"), F.concat(F.substring("key", 2, 1), F.substring("key", 4, 1)).alias("slot"), "n")
-    total = c.groupBy("c").agg(F.sum("n").alias("total"))
-    top = c.groupBy("slot").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "c")), asc=False), 1, 5).alias("top")).where("size(top) > 1")  # at most the alphabet
-    votes = c.join(top, "slot").select("c", "n", F.explode("top").alias("t")).where("t.c <> c AND t.n >= 3 * n").groupBy("c", F.col("t.c").alias("p")).agg(F.sum("n").alias("n"), F.sum("t.n").alias("cover"))
-    pairs = votes.join(total, "c").join(total.select(F.col("c").alias("p"), F.col("total").alias("other")), "p").where((F.col("n") >= share * F.col("total")) & (F.col("other") > times * F.col("total")))
-    best = pairs.groupBy("c").agg(F.max(F.struct((F.col("cover") / F.col("other")).alias("s"), "p")).alias("b")).select("c", "b.p")
-    return {r.c: r.p for r in best.collect() if _CJK.match(r.p) and _CJK.match(r.c)}
+    total = c.groupBy("c").agg(F.sum("n").alias("total"))  # at most the alphabet
+    seen = c.join(F.broadcast(total), "c")
+    over = seen.where("n >= 3").select("slot", F.col("c").alias("p"), F.col("n").alias("m"), F.col("total").alias("other"))
+    votes = seen.join(over, "slot").where((F.col("m") >= 3 * F.col("n")) & (F.col("other") > times * F.col("total"))).groupBy("c", "p", "total", "other").agg(F.sum("n").alias("n"), F.sum("m").alias("cover"))
+    best = votes.where(F.col("n") >= share * F.col("total")).groupBy("c").agg(F.sort_array(F.collect_list(F.struct((F.col("cover") / F.col("other")).alias("s"), "p")), asc=False).alias("b")).select("c", "b.p")
+    return {r.c: "".join(p for p in r.p if _CJK.match(p)) for r in best.collect() if _CJK.match(r.p[0]) and _CJK.match(r.c)}
 
 
 def _variants_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

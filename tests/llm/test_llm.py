@@ -313,3 +313,28 @@ def test_signs_are_learned_from_contexts(spark):
     assert scans.learn_signs(counts) == {"冈": "网", "甩": "电"}
     got = {x.extract_id: x for x in scans.read_scans(d).collect()}
     assert all(([c.kind for c in got[i].cases] == ["ocr"]) == ("冈" in t) for i, t, _ in rows) and not any("冈" in x.repaired or "甩" in x.repaired for x in got.values())
+
+
+def test_signs_of_contexts_that_many_signs_share(spark):
+    others = {"的电": "停输变配发核", "在路": "公铁水陆道航", "和力": "电火压人能主"}
+    rows = []
+    for i in range(60):
+        t = "，".join(s[0] + x + s[1] for s, xs in others.items() for x in xs + ("凤" if i % 30 == 7 else "风" if i < 50 else ""))
+        rows.append((i, t, AT))
+    d = spark.createDataFrame(rows, "extract_id long, text string, extracted_at timestamp")
+    counts = d.select("text").mapInArrow(scans._counts, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    assert scans.learn_signs(counts) == {"凤": "风"}
+    got = {x.extract_id: x for x in scans.read_scans(d).collect()}
+    assert all(([c.kind for c in got[i].cases] == ["ocr"]) == ("凤" in t) and got[i].repaired == t.replace("凤", "风") for i, t, _ in rows)
+
+
+def test_every_sign_that_explains_a_misread_one_counts(spark):
+    said = "城风路，乡风桥，村风港，镇风站，省风网，乡停桥，村停港，镇停站，省停网，县停线，海停岸"
+    bad = "城凤路，乡凤桥，村凤港，镇凤站，省凤网，县凤线，我们在年末才看到新的道路"
+    rows = [(i, bad if i % 30 == 7 else said, AT) for i in range(60)]
+    d = spark.createDataFrame(rows, "extract_id long, text string, extracted_at timestamp")
+    counts = d.select("text").mapInArrow(scans._counts, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    assert scans.learn_signs(counts) == {"凤": "风停"}
+    got = {x.extract_id: x for x in scans.read_scans(d).collect()}
+    assert all(([c.kind for c in got[i].cases] == ["ocr"]) == ("凤" in t) for i, t, _ in rows)
+    assert got[7].repaired == bad.replace("凤线", "停线").replace("凤", "风")
